@@ -163,3 +163,23 @@ def text_slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20):
             start, held = i + 1, 0
     if start < batch.num_rows:
         yield start, batch.num_rows
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those rejected by ``decisions`` (doc_id, hash of the text, kept).
+
+    Rows that repeat a doc_id and text share a key; where some of them stay and some go, one stays.
+    """
+    spark_hash = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__hash", spark_hash)
+
+    def matching(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"))
+        return rows.join(keys, rows["__doc"].eqNullSafe(keys["__d"]) & (rows["__hash"] == keys["__h"]), how)
+
+    gone = decisions.where(~F.col("kept")).select("doc_id", "hash")
+    out = matching(gone, "left_anti")
+    twins = decisions.groupBy("doc_id", "hash").agg(F.min("kept").alias("lo"), F.max("kept").alias("hi")).where("hi and not lo")
+    if not twins.isEmpty():
+        out = out.unionByName(matching(twins, "left_semi").dropDuplicates(["__doc", "__hash"]))
+    return out.select(*docs.columns)

@@ -34,7 +34,12 @@ SALT_ROWS = 4096
 #: Bytes of staged rows (about 60 each) that one micro-batch reads.
 TRIGGER_BYTES = str(1 << 30)
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, its memory bounded for each executor.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -46,8 +51,8 @@ def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, trigg
 
     State: digest, n_bytes -> rows so far, and the largest (doc_id, row_tag).
     """
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")}
-    for k, v in zip(before, (ROCKSDB, "true", "200"), strict=True):
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).options(**(trigger or {"maxBytesPerTrigger": TRIGGER_BYTES})).parquet(source)
@@ -66,17 +71,17 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, space: Workspace | None = None, trigger: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
+    """doc_id, keep_id, group_size, kept, text_sha256, hash (xxhash64 of the text) for every row."""
     spark = docs.sparkSession
     space = space or Workspace(spark, "exact")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # A null doc_id sorts below all others in max() over structs, so it never wins.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("text").cast("string").alias("original"))
     staged = space.stage(
-        keyed.select("doc_id", F.monotonically_increasing_id().alias("row_tag"), digest(F.col("text")).cast("binary").alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), sha256(F.col("text")).alias("sha")),
+        keyed.select("doc_id", F.monotonically_increasing_id().alias("row_tag"), digest(F.col("text")).cast("binary").alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), sha256(F.col("text")).alias("sha"), F.xxhash64("original").alias("hash")),
         "staged",
     )
-    ingest(spark, f"{space.path}/staged", "doc_id long, row_tag long, digest binary, n_bytes long, sha binary", f"{space.path}/checkpoint", trigger)
+    ingest(spark, f"{space.path}/staged", "doc_id long, row_tag long, digest binary, n_bytes long", f"{space.path}/checkpoint", trigger)
     groups = space.stage(read_state(spark, f"{space.path}/checkpoint"), "groups")
     total = staged.count()
     hot = groups.where(F.col("n") >= F.lit(max(1000, int(total * HOT_PART))))
@@ -86,7 +91,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
 
     # Hits: every row of a group but the one that stays, against the bytes at the locator.
     hits = groups.where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
-    hashed = keyed.withColumn("digest", digest(F.col("text")).cast("binary")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    hashed = keyed.drop("original").withColumn("digest", digest(F.col("text")).cast("binary")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     hot_hits = F.broadcast(hits.join(hot_keys, key, "left_semi"))
     members = hashed.join(hot_hits, key).unionByName(hashed.join(hot_keys, key, "left_anti").join(hits.join(hot_keys, key, "left_anti"), key))
     located = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest", "n_bytes"])
@@ -95,11 +100,11 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     differ = space.stage(compared.where(F.col("text") != F.col("kept_text")).select(*key).distinct(), "differ")
     out = found
     if not differ.isEmpty():  # equal digests of different texts: their keys are grouped by the text itself
-        clash = staged.join(differ, key, "left_semi").select("row_tag", "doc_id", "sha", *key)
+        clash = staged.join(differ, key, "left_semi").select("row_tag", "doc_id", "sha", "hash", *key)
         texts = hashed.join(differ, key, "left_semi")
         whole = texts.groupBy(*key, "text").agg(F.sha2(F.first("text").cast("binary"), 256).alias("hex"))
         whole = whole.select(*key, F.unhex("hex").alias("sha"))  # one row for each different text
         each = clash.join(whole, [*key, "sha"]).groupBy(*key, "sha").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row_tag")).alias("stays"))
         each = each.select(*key, "sha", "n", F.col("stays.doc_id").alias("keep_id"), F.col("stays.row_tag").alias("keep_tag"))
         out = found.join(differ, key, "left_anti").unionByName(clash.join(each, [*key, "sha"]).select(found.columns))
-    return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row_tag") == F.col("keep_tag")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row_tag") == F.col("keep_tag")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "hash")

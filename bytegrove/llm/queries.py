@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_orc
+from . import exact_dedup, jpeg, katz, language_id, mixing, near_dedup, packing, substring_dedup, token_orc, token_rollup
 from .common import Workspace, n_parts, prepare, table, vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+#: Insert batches of the token rollup.
+ROLLUP_BATCHES = 4
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: each document's size, its source's target, and words taken."""
+    return mixing.mixing_digests(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents (doc_id) and all pages (page_id)."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    out = language_id.identify(language_id.document_evidence(docs), model).select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "lang", "posterior", "kept")
+    pages = language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages")), model)
+    return out.unionByName(pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("page_id"), "lang", "posterior", "kept"))
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +41,39 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digests(packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY)))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model learnt from six sevenths of them."""
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
+def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as JPEG media, read back, with dimensions and thumbnail hashes."""
+    return jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
+
+
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents, inserted batch by batch; a repeated batch changes nothing."""
+    space = Workspace(spark, "rollup")
+    counts = space.stage(token_rollup.count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), f"{WORD_VOCABULARY}@1"), "counts")
+    ledger = token_rollup.TokenRollup(spark, f"{space.path}/ledger")
+    for k in [*range(ROLLUP_BATCHES), 0]:
+        ledger.commit(f"insert-{k}", token_rollup.inserts(counts.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROLLUP_BATCHES)) == k)))
+    return ledger.rollup()
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_size", "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts among all documents."""
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("hash")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across all documents."""
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -37,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    found = (op3_token_orc, op4_best_fit_packing, op9_exact_dedup)
+    found = (op1_mixing, op2_language_id, op3_token_orc, op4_best_fit_packing, op5_katz, op6_jpeg, op7_token_rollup, op8_near_dedup, op9_exact_dedup, op10_substring_dedup)
     return {f.__name__: made(f) for f in found}
 
 
