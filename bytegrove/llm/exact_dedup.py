@@ -34,11 +34,12 @@ SALT_ROWS = 4096
 #: Bytes of staged rows (about 60 each) that one micro-batch reads.
 TRIGGER_BYTES = str(1 << 30)
 
-#: State on disk, its memory bounded for each executor.
+#: State on disk, its memory bounded for each executor; no preallocated files, as there are many stores.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
