@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,9 +97,15 @@ def salted(spark: SparkSession, big: DataFrame, small: DataFrame, key: str, hot:
 # --- tokenizers -------------------------------------------------------------------------
 
 #: Distinct white-space chunks whose ids a worker keeps; past it the cache starts afresh.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_200_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHARS = 48
+#: Chunks whose normal form is their lower case and whose words are known: printable ASCII but the
+#: apostrophe, which starts patterns of its own, and precomposed Latin letters but one whose lower
+#: case is two characters. A run of letters is a word, a digit is, and a run of others.
+PLAIN = regex.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+#: Of each byte of plain chunks in UTF-8: 0 space, 1 letter, 2 digit, 3 other.
+KINDS = np.array([0 if c == 32 else 1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], "u1")
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -110,39 +117,76 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> np.ndarray:
+    """The character that stands for each byte in byte-level vocabularies; a space stays here."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out = np.empty(256, "<u4")
+    rest = iter(range(256, 512))
+    for byte in range(256):
+        out[byte] = byte if byte in shown else next(rest)
+    out[32] = 32
+    return out
+
+
 class ChunkEncoder:
     """Whole texts to ids by the tokenizers library, remembering chunks between spaces.
 
-    The word vocabulary drops white space before it forms words, and none of its patterns
-    spans a space or line feed, so a text's ids are its chunks' ids in a row. A test holds
-    this against encoding whole texts.
+    The word vocabulary drops white space before it forms words, and none of its patterns spans
+    a space or line feed, so a text's ids are its chunks' ids in a row. New plain chunks are
+    normalised and cut into words in numpy, many at a time, given to the library's model with
+    spaces between words, and told apart by the word-end mark of a word's last id. All others
+    are encoded one by one. Tests hold this against encoding whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)  # normalised words in, ids out
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.characters = byte_characters()
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of plain chunks, none of them empty."""
+        text = np.frombuffer(" ".join(chunks).lower().encode(), "u1")
+        kind = KINDS[text]
+        last = np.concatenate([[0], kind[:-1]])
+        starts = (kind > 0) & ((kind == 2) | (kind != last))
+        words = np.cumsum(starts)[np.concatenate([np.where(kind == 0)[0], [len(kind) - 1]])]
+        spaced = np.insert(text, np.where(starts & (last > 0))[0], 32)
+        ready = self.characters[spaced].tobytes().decode("utf-32-le")
+        ids = np.array(self.words.encode_batch_fast([ready], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.where(self.ends[ids])[0]
+        if len(ends) != words[-1] or ends[-1] != len(ids) - 1:
+            return [self._one(c) for c in chunks]
+        raw, cut = ids.tobytes(), (4 * (ends[words - 1] + 1)).tolist()
+        return [raw[a:z] for a, z in zip([0, *cut[:-1]], cut, strict=True)]
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, then ``end``."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.known.keys()
+        chunks = list(set().union(*split))
+        here = dict(zip(chunks, map(self.known.get, chunks), strict=True))  # small, so quick to search
+        new = [c for c, ids in here.items() if ids is None]
+        plain = [c for c in new if PLAIN.fullmatch(c) and "<|" not in c]
+        for i in range(0, len(plain), 512):
+            part = plain[i : i + 512]
+            here.update(zip(part, self._learn(part), strict=True))
+        for c in set(new).difference(plain):
+            here[c] = self._one(c)
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known = {}
-            new = set().union(*split)
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.known.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, chunks)) + end for chunks in split]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del self.known[c]
-        return out
+        self.known.update((c, here[c]) for c in new if len(c) <= CACHE_CHARS)
+        get = here.__getitem__
+        return [b"".join(map(get, row)) + end for row in split]
 
 
 def encoder(path: str) -> ChunkEncoder:
