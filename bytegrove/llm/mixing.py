@@ -73,7 +73,7 @@ def targets(sizes: list[int], weights: list[int], cap: float = MAX_EPOCHS) -> li
     out, left, weight = [0.0] * n, total, float(sum(weights))
     for i in order:
         share = left * weights[i] / weight if weight else 0.0
-        out[i] = min(cap * sizes[i], share)
+        out[i] = float(min(cap * sizes[i], share))
         left, weight = left - out[i], weight - weights[i]
     return out
 
