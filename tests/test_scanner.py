@@ -335,3 +335,24 @@ def test_ordered_tier_state_and_budget(spark):
     assert json.loads(rows[0]["globals"]) == {"seen": 3}
     item = O.Item("p", b"abc")
     assert (item.read(1, 9), item.read(3, 1), item.read(4, 1)) == (b"bc", b"", None)
+
+
+def test_reader():
+    from bytegrove.sources.reader import ItemReader
+
+    r = ItemReader(O.Item("p", b"hello"))
+    assert (r.read(2), r.seek(-1, io.SEEK_END), r.read(9), r.read(1), r.seek(99), r.read(1)) == (b"he", 4, b"o", b"", 99, b"")
+    with pytest.raises(ValueError):
+        r.seek(-1)
+    with pytest.raises(EOFError):
+        ItemReader(O.Item("p", None, size=4)).read(1)
+    with zipfile.ZipFile(ItemReader(O.Item("z", archive(("a", b"data"))))) as z:
+        assert z.read("a") == b"data"
+
+
+def test_find_zips_in_a_folder(spark, tmp_path):
+    (tmp_path / "deep/er").mkdir(parents=True)
+    (tmp_path / "deep/er/a.dat").write_bytes(archive(("x", b"1")))
+    (tmp_path / "deep/not.zip").write_bytes(b"PK\x03\x04")
+    result = ScannerBuilder(["Folder", "Zip"]).add_identifier(P.ZIP).max_depth(64).build().scan(folder(spark, tmp_path, "Folder"))
+    assert [r["path"] for r in result.objects.where("type = 'Zip'").collect()] == [f"{tmp_path}/deep/er/a.dat"]
