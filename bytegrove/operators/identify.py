@@ -80,10 +80,15 @@ class IdentifierSet:
                 ok = F.when(candidate == i.type, F.coalesce(i.validate(c), F.lit(False))).otherwise(ok)
         return F.when(ok, candidate)
 
+    @staticmethod
+    def keys(c: Content) -> dict[str, Column]:
+        """Folded name and extension, as columns of their own: they are used more than once."""
+        name = ascii_lower(file_name(byte_view(c.path, c.path_raw)))
+        return {"name_key": name, "ext_key": extension(name)}
+
     def resolve(self, c: Content) -> Column:
-        """struct<type, type_source>; both NULL for what nothing identifies."""
-        name = file_name(byte_view(c.path, c.path_raw))
-        ext, name = ascii_lower(extension(name)), ascii_lower(name)
+        """struct<type, type_source> from a content and its keys(); both NULL if nothing identifies it."""
+        name, ext = F.col("name_key"), F.col("ext_key")
         head = text_view(F.substring(c.content, 1, MAGIC_WINDOW))
         found = [(c.pinned_type, "pinned")]
         if self.magic:

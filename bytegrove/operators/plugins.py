@@ -10,13 +10,24 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.binary import starts_with, text_view, uint_be, uint_le
 from .analyze import Analyzer, Output, request
-from .extract import ENTRIES, Extraction, content, entry
+from .extract import Extraction, content, entry
 from .identify import Content, Identifier
 
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+#: Types of Python functions are objects, as strings need a running session.
+PLACES = T.ArrayType(_struct(offset=T.LongType(), length=T.LongType()))
+SIZE = _struct(width=T.LongType(), height=T.LongType())
+MEMBERS = T.ArrayType(_struct(path=T.StringType(), size=T.LongType(), skip_filter=T.BooleanType(), locator=T.StringType()))
+
 # --- vowels -----------------------------------------------------------------------------
 
 
@@ -55,7 +66,7 @@ TEXT_NUMBERS = Identifier("Text", magic=[b"TXT"])
 BASE64_RUN = 16
 
 
-@pandas_udf("array<struct<offset:bigint,length:bigint>>")
+@pandas_udf(PLACES)
 def _base64_places(data: pd.Series) -> pd.Series:
     run = re.compile(rb"[A-Za-z0-9+/]+={0,2}")
     return data.map(lambda b: [(m.start(), len(m[0])) for m in run.finditer(b) if len(m[0]) >= BASE64_RUN and len(m[0]) % 4 == 0] if b is not None else None)
@@ -81,7 +92,6 @@ class Base64Extractor:
 PNG = Identifier("Png", magic=[b"\x89PNG\r\n\x1a\n"])
 BMP = Identifier("Bmp", magic=[b"BM"])
 JPEG = Identifier("Jpeg", magic=[b"\xff\xd8"])
-SIZE = "struct<width:bigint,height:bigint>"
 
 
 def _size(width: Column, height: Column) -> Column:
@@ -156,7 +166,7 @@ def ends_like_zip(tail: bytes | None) -> bool:
     return False
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def _ends_like_zip(tail: pd.Series) -> pd.Series:
     return tail.map(ends_like_zip).astype(bool)
 
@@ -204,12 +214,12 @@ def zip_member(data: bytes | None, offset: int, length, number: int) -> bytes |
         return None
 
 
-@pandas_udf(ENTRIES)
+@pandas_udf(MEMBERS)
 def _zip_entries(data: pd.Series, offset: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series([zip_entries(d, int(o), n) for d, o, n in zip(data, offset, length, strict=True)])
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def _zip_member(data: pd.Series, offset: pd.Series, length: pd.Series, number: pd.Series) -> pd.Series:
     return pd.Series([zip_member(d, int(o), n, int(k)) for d, o, n, k in zip(data, offset, length, number, strict=True)])
 

@@ -95,7 +95,7 @@ class Scanner:
     def _observe(self, rows: DataFrame) -> DataFrame:
         """Identify and analyze one generation."""
         c = Content.of()
-        typed = rows.withColumn("t", self.identifiers.resolve(c)).select(*ROW, "t.type", "t.type_source")
+        typed = rows.withColumns(self.identifiers.keys(c)).withColumn("t", self.identifiers.resolve(c)).select(*ROW, "t.type", "t.type_source")
         made = self.analyzers.outputs(c)
         return typed.select(*ROW, "type", "type_source", *[v.alias(k) for k, v in made.items()])
 
