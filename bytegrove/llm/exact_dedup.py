@@ -31,6 +31,8 @@ from .common import Workspace
 HOT_PART = 0.001
 #: Rows of a group that one salt takes.
 SALT_ROWS = 4096
+#: Keys of groups that may be broadcast (about 80 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 50_000
 #: Bytes of staged rows (about 60 each) that one micro-batch reads.
 TRIGGER_BYTES = str(1 << 30)
 
@@ -90,11 +92,15 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     near, hot_keys = F.broadcast(hot), F.broadcast(hot.select(key))
     found = staged.join(near, key).unionByName(staged.join(hot_keys, key, "left_anti").join(groups.join(hot_keys, key, "left_anti"), key))
 
-    # Hits: every row of a group but the one that stays, against the bytes at the locator.
+    # Hits: rows of groups of two and more, against the bytes at the locator.
     hits = groups.where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
     hashed = keyed.drop("original").withColumn("digest", digest(F.col("text")).cast("binary")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    hot_hits = F.broadcast(hits.join(hot_keys, key, "left_semi"))
-    members = hashed.join(hot_hits, key).unionByName(hashed.join(hot_keys, key, "left_anti").join(hits.join(hot_keys, key, "left_anti"), key))
+    if hits.count() <= BROADCAST_KEYS:  # texts of other rows needn't move
+        members = hashed.join(F.broadcast(hits), key)
+    else:
+        hot_hits = F.broadcast(hits.join(hot_keys, key, "left_semi"))
+        members = hashed.join(hot_hits, key).unionByName(hashed.join(hot_keys, key, "left_anti").join(hits.join(hot_keys, key, "left_anti"), key))
+    members = space.stage(members, "members", compression="zstd")
     located = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest", "n_bytes"])
     located = located.select("digest", "n_bytes", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     compared = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).join(located, [*key, "salt"])
