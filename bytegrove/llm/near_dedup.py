@@ -41,7 +41,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Signature: BANDS * ROWS components.
 BANDS, ROWS = 32, 4
 #: Pivots of a bucket and round.
-LANES = 4
+LANES = 32
 #: Expected points for each component beyond its logarithm; more means fewer repeats.
 SPARE = 2.5
 #: Words whose hashes a worker keeps.
