@@ -214,16 +214,17 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id and text share a key; where some of them stay and some go, one stays.
     """
-    spark_hash = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__hash", spark_hash)
+    # The row travels as one struct, so no name of its own can clash.
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), whole)
 
     def matching(keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"))
-        return rows.join(keys, rows["__doc"].eqNullSafe(keys["__d"]) & (rows["__hash"] == keys["__h"]), how)
+        keys = keys.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"))
+        return rows.join(keys, rows["doc"].eqNullSafe(keys["d"]) & (rows["text_hash"] == keys["h"]), how)
 
     gone = decisions.where(~F.col("kept")).select("doc_id", "hash")
     out = matching(gone, "left_anti")
     twins = decisions.groupBy("doc_id", "hash").agg(F.min("kept").alias("lo"), F.max("kept").alias("hi")).where("hi and not lo")
     if not twins.isEmpty():
-        out = out.unionByName(matching(twins, "left_semi").dropDuplicates(["__doc", "__hash"]))
-    return out.select(*docs.columns)
+        out = out.unionByName(matching(twins, "left_semi").dropDuplicates(["doc", "text_hash"]))
+    return out.select("row.*")

@@ -179,8 +179,9 @@ def mixing_digests(mixed: Mix) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, mixed: Mix, shards: int = SHARDS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, shard by shard in shuffled order."""
-    rows = docs.withColumn("__src", source_key()).withColumn("__doc", F.col("doc_id").cast("long"))
-    taken = mixed.taken.select(F.col("src").alias("__src"), F.col("doc_id").alias("__doc"), F.col("shard").alias("__shard"), F.col("mix_key").alias("__key"))
-    same = (rows["__src"] == taken["__src"]) & rows["__doc"].eqNullSafe(taken["__doc"])
-    out = rows.join(taken, same).select(*[rows[f"`{c}`"] for c in docs.columns], "__shard", "__key")
-    return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__key").drop("__shard", "__key")
+    # The row travels as one struct, so no name of its own can clash.
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    rows = docs.select(source_key().alias("row_src"), F.col("doc_id").cast("long").alias("row_doc"), whole)
+    taken = mixed.taken.select("src", "doc_id", "shard", "mix_key")
+    out = rows.join(taken, (F.col("row_src") == F.col("src")) & F.col("row_doc").eqNullSafe(F.col("doc_id")))
+    return out.repartition(shards, "shard").sortWithinPartitions("shard", "mix_key").select("row.*")
