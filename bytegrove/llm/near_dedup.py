@@ -10,13 +10,17 @@ the signature, and two signatures agree in a component with the weighted Jaccard
 probability. Points come in ascending time, so only the few before a document's bound are made;
 where a component stays empty the bound is raised and the document redone.
 
-Bands of ROWS components make buckets. Documents of one bucket aren't paired with each other:
-each unresolved bucket names a few pivots, its members not yet in a pivot's class are compared
-with it by the exact multiset overlap, links are contracted to components, and the pivots leave
-the bucket. This goes on until every bucket lies in one class or has run out of pivots, so every
-pair of a bucket is either connected or compared, and none is dropped. Documents with the same
-multiset are one document here, so copies never multiply. A link of similarity 0.8 is missed
-with probability (1 - 0.8^4)^32, 5e-8; more similar ones with less.
+Bands of ROWS components make buckets. Each document is first compared, by the exact multiset
+overlap, with the one pivot it shares most buckets with, and links are contracted to components.
+What then still lies in two or more classes of a bucket is compared in blocks: a bucket is cut
+into chunks of CHUNK documents, and a task takes two chunks. It counts agreeing components for
+all their pairs of different classes at once, and keeps, as lists, those that may reach the
+threshold and whose first common band is this bucket's; another pass takes the texts of these
+documents and computes the exact overlap, leaving out pairs that links found so far connect. So
+every pair of a bucket is either connected or compared, no pair becomes a row of its own unless
+it is a link between classes, and a large group is many tasks. Documents with the same multiset
+are one document here, so copies never multiply. A link of similarity 0.8 is missed with
+probability (1 - 0.8^4)^32, 5e-8, by bands and 1e-9 by agreement; more similar ones with less.
 
 Defined cases: texts under five words have their whole word list as one shingle; null, empty and
 wordless texts are one class; of rows with the same doc_id one stays; a null doc_id loses against
@@ -40,8 +44,11 @@ from .common import Workspace, prepare, salted, text_slices
 WORDS, THRESHOLD = 5, 0.8
 #: Signature: BANDS * ROWS components.
 BANDS, ROWS = 32, 4
-#: Pivots of a bucket and round.
-LANES = 32
+#: Documents of a chunk of a bucket.
+CHUNK = 512
+#: Pairs whose signatures agree in fewer components than this, six standard deviations below
+#: what a pair at the threshold has, are told apart without their texts.
+LEAST_AGREEMENT = int(BANDS * ROWS * (THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5))
 #: Expected points for each component beyond its logarithm; more means fewer repeats.
 SPARE = 2.5
 #: Words whose hashes a worker keeps.
@@ -165,7 +172,12 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view("i8")
 
 
-SIGNED = "rid long, doc_id long, hash long, fp binary, bands array<long>"
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each component, for counting agreements."""
+    return (mix64(sig.view("u8")) >> np.uint64(48)).astype("<u2")
+
+
+SIGNED = "rid long, doc_id long, hash long, fp binary, sketch binary, bands array<long>"
 
 
 def _sign(docs: DataFrame) -> DataFrame:
@@ -177,12 +189,13 @@ def _sign(docs: DataFrame) -> DataFrame:
             for i, j in text_slices(batch, 4 << 20):
                 part = batch.slice(i, j - i)
                 found = [shingles(t) for t in part.column(2).to_pylist()]
-                keys = band_keys(signatures(found))
+                sig = signatures(found)
+                keys, sketch = band_keys(sig), sketches(sig)
                 n = len(found)
                 # Two sums of scrambled hashes and the size identify a multiset.
                 fp = [b"%d:" % len(s) + mix64(s ^ np.uint64(0x51)).sum(dtype="u8").tobytes() + mix64(s ^ np.uint64(0xA3)).sum(dtype="u8").tobytes() for s in found]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * BANDS), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), part.column(0), part.column(1), pa.array(fp, pa.binary()), bands], ["rid", "doc_id", "hash", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), bands], ["rid", "doc_id", "hash", "fp", "sketch", "bands"])
                 next_id += n
 
     text = F.col("text").cast("string")
@@ -211,6 +224,97 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+#: A document in a task on two chunks of a bucket; ``side`` 0 is the first chunk, 1 the second
+#: (a chunk with itself has side 0 alone).
+UNIT = ("key", "i", "j")
+
+
+def _units(batches: Iterator[pa.RecordBatch], extra: str) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Rows sorted by unit, a unit at a time."""
+    names = ("rid", "label", "side", "band", extra)
+    unit, rows = None, {n: [] for n in names}
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in UNIT), strict=True))
+        columns = {n: batch.column(n).to_pylist() for n in names}
+        at = 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if keys[at] != unit:
+                if unit is not None:
+                    yield unit, rows
+                unit, rows = keys[at], {n: [] for n in names}
+            for n in names:
+                rows[n] += columns[n][at:end]
+            at = end
+    if unit is not None:
+        yield unit, rows
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a unit that may link to others: their list."""
+    for (key, i, j), rows in _units(batches, "sketch"):
+        sketch = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(len(rows["rid"]), -1)
+        rid, label, side = (np.array(rows[n], "int64") for n in ("rid", "label", "side"))
+        left = np.where(side == 0)[0]
+        right = np.where(side == 1)[0] if i != j else left
+        out = []
+        for a in left.tolist():
+            others = right[label[right] != label[a]] if i != j else right[(right > a) & (label[right] != label[a])]
+            if not len(others):
+                continue
+            same = sketch[others] == sketch[a]
+            near = same.sum(axis=1) >= LEAST_AGREEMENT
+            if not near.any():
+                continue
+            others, same = others[near], same[near]
+            first = same.reshape(len(others), -1, ROWS).all(axis=2).argmax(axis=1) == rows["band"][a]
+            if first.any():
+                out.append((key, i, j, int(rid[a]), rid[others[first]].tolist()))
+        if out:
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*UNIT, "rid", "others"])
+
+
+def _links(threshold: float):
+    """From a unit's documents with texts and lists of others: links between classes, each pair of
+    classes once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _units(batches, "text"):
+            place = {r: k for k, r in enumerate(rows["rid"])}
+            found: dict[int, np.ndarray] = {}
+            parent = {x: x for x in rows["label"]}
+
+            def root(x: int) -> int:
+                while parent[x] != x:  # noqa: B023
+                    parent[x] = parent[parent[x]]  # noqa: B023
+                    x = parent[x]  # noqa: B023
+                return x
+
+            def of(k: int) -> np.ndarray:
+                if k not in found:  # noqa: B023
+                    found[k] = shingles(rows["text"][k])  # noqa: B023
+                return found[k]  # noqa: B023
+
+            out = []
+            for k, others in enumerate(rows["band"]):  # here the lists of others
+                for r in others or ():
+                    o = place[r]
+                    x, y = root(rows["label"][k]), root(rows["label"][o])
+                    if x == y:
+                        continue
+                    few, many = sorted((len(of(k)), len(of(o))))
+                    if few >= threshold * many and overlap(of(k), of(o)) >= threshold:
+                        out.append((rows["rid"][k], r))
+                        parent[max(x, y)] = min(x, y)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(u, v) with v the smallest node of u's component, for each u that isn't it.
 
@@ -246,15 +350,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace
     # One row stands for all with its multiset.
     groups = space.stage(rows.groupBy("fp").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
     heads = signed.select(F.col("rid").alias("rep"), "bands").join(groups.select("rep"), "rep")
-    buckets = heads.select(F.explode("bands").alias("key"), F.col("rep").alias("rid"))
-    several = buckets.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("key")
-    members = space.stage(buckets.join(several, "key"), "members-0")
-    wanted = members.select("rid").distinct().join(rows.select("rid", "doc_id", "hash"), "rid")
+    buckets = heads.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("rid"))
+    several = buckets.groupBy("key").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("size")).where("pivot < last").drop("last")
+    members = space.stage(buckets.join(several, "key"), "members")
+    wanted = members.select("rid").distinct().join(signed.select("rid", "doc_id", "hash", "sketch"), "rid")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), text.alias("text"))
     # A stretch of candidates' texts; of rows with one doc_id and text any serves.
     same = wanted["doc_id"].eqNullSafe(whole["d"]) & (wanted["hash"] == whole["h"])
-    texts = space.stage(whole.join(wanted, same).select("rid", "text").dropDuplicates(["rid"]), "texts", compression="zstd")
+    texts = space.stage(whole.join(wanted, same).select("rid", "text", "sketch").dropDuplicates(["rid"]), "texts", compression="zstd")
     space.sweep()
     labels = space.stage(members.select("rid", F.col("rid").alias("label")).distinct(), "labels-0")
 
@@ -265,26 +369,33 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace
         parts = components(edges, space, f"edges-{k}")
         return space.stage(labels.join(parts, labels["label"] == parts["u"], "left").select("rid", F.coalesce("v", "label").alias("label")), f"labels-{k}")
 
-    for k in itertools.count(1):
-        known = members.join(labels, "rid")
-        lanes = [F.min(F.when(F.pmod(F.xxhash64("rid"), F.lit(LANES)) == i, F.struct("rid", "label"))).alias(f"p{i}") for i in range(LANES)] if k > 1 else [F.min(F.struct("rid", "label")).alias("p0")]
-        open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *lanes).where("lo < hi")
-        names = [c for c in open_.columns if c.startswith("p")]
-        open_ = open_.select("key", F.array_compact(F.array(*names)).alias("pivots"))
-        left = space.stage(known.join(open_, "key"), f"open-{k}")
-        pairs = left.select("rid", "label", F.explode("pivots").alias("p")).where("rid <> p.rid and label <> p.label")
-        if k == 1:  # first each document with the pivot it shares most buckets with
-            best = pairs.groupBy("rid", F.col("p.rid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-            chosen = best.groupBy(F.col("rid").alias("a")).agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        else:
-            chosen = pairs.select(F.greatest("rid", "p.rid").alias("a"), F.least("rid", "p.rid").alias("b")).distinct()
-            members = space.stage(left.where(~F.exists("pivots", lambda p: p["rid"] == F.col("rid"))).select("key", "rid"), f"members-{k}")
-        links = space.stage(_verify(chosen, texts, threshold), f"links-{k}")
+    # First each document with the pivot that it shares most buckets with.
+    shared = members.where("rid <> pivot").groupBy("rid", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy(F.col("rid").alias("a")).agg(F.max(F.struct("n", "pivot")).alias("x")).select("a", F.col("x.pivot").alias("b"))
+    labels = relabel(space.stage(_verify(best, texts.drop("sketch"), threshold), "links-1"), 1)
+    space.sweep()
+
+    # Then what is left of each bucket, in blocks of two chunks.
+    known = members.drop("pivot").join(labels, "rid")
+    open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    left = space.stage(known.join(open_, "key"), "open")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    chunked = left.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    spread = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    spread = spread.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rid", "label", F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"), "band")
+    joined = spread.join(texts.select("rid", "sketch"), "rid")
+    dealt = joined.repartition(*UNIT).sortWithinPartitions(*UNIT, "rid").select(*UNIT, "rid", "label", "side", "band", "sketch")
+    lists = space.stage(dealt.mapInArrow(_candidates, "key long, i int, j int, rid long, others array<long>"), "lists")
+    if not lists.isEmpty():
+        named_ = lists.select(*UNIT, "rid", "others").unionByName(lists.select(*UNIT, F.explode("others").alias("rid"), F.lit(None).cast("array<long>").alias("others")).distinct())
+        # A document's own list, and its mention in others' lists: one row.
+        needed = named_.groupBy(*UNIT, "rid").agg(F.flatten(F.collect_list("others")).alias("band"))
+        with_text = needed.join(labels, "rid").join(texts.select("rid", "text"), "rid").withColumn("side", F.lit(0))
+        dealt = with_text.repartition(*UNIT).sortWithinPartitions(*UNIT, "rid").select(*UNIT, "rid", "label", "side", "band", "text")
+        links = space.stage(dealt.mapInArrow(_links(threshold), "a long, b long"), "links-2")
         if not links.isEmpty():
-            labels = relabel(links, k)
-        space.sweep()
-        if k > 1 and members.isEmpty():
-            break
+            labels = relabel(links, 2)
+    space.sweep()
 
     total = rows.count()
     hot = groups.where(F.col("n") >= F.lit(max(1000, int(total * HOT_PART)))).select("fp")

@@ -193,6 +193,12 @@ def near_corpus():
             for _ in range(rng.choice([0, 0, 1, 2, 4])):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             rows.append((len(rows), " ".join(copy)))
+    for start in (7, 60):  # copies that drift away from the first one, link by link
+        drift = [rng.choice(words) for _ in range(200)]
+        for k in range(14):
+            rows.append((len(rows), " ".join(drift)))
+            for _ in range(3):
+                drift[(start + 13 * k + rng.randrange(200)) % 200] = rng.choice(words)
     rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "!!! ???"), (len(rows) + 3, "W1, w2. w3 w4 w5"), (len(rows) + 4, "w1 w2 W3 w4 w5"), rows[0], rows[0]]
     rows.append((len(rows) + 9, " ".join(["la la la la la la"] * 30)))
     rows.append((len(rows) + 9, " ".join(["la la la la la la"] * 28)))
@@ -200,7 +206,9 @@ def near_corpus():
     return rows
 
 
-def test_near_dedup(spark, empty):
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_near_dedup(spark, empty, monkeypatch, chunk):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     rows = near_corpus()
     sets = [near_dedup.shingles(t) for _, t in rows]
     label = list(range(len(rows)))
