@@ -73,9 +73,8 @@ def training(lengths: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.repeat(~held, lengths)
 
 
-def previous(b: Block) -> np.ndarray:
+def previous(b: Block, end: int) -> np.ndarray:
     """The token before each one; the end token before a document's first."""
-    end = np.uint32(np.searchsorted(b.words, np.uint64(WORD_HASH_END)))
     before = np.concatenate([[end], b.tokens[:-1]]).astype("u4")
     before[np.cumsum(b.lengths)[:-1]] = end
     return before
@@ -192,38 +191,35 @@ def _score(space: Workspace, block_rows: DataFrame, partition_keys: int) -> Data
         return b, np.where(number > 0, number * np.uint64(word_parts) + to, 0).astype("u8"), c
 
     def with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks for the rounds that follow: pairs as places in a list of distinct ones."""
+        """Blocks for the rounds that follow; pairs are formed anew in each, to keep tables small."""
         for batch in batches:
             for row in batch.to_pylist():
                 b, number, c = known(row)
-                pair = previous(b).astype("u8") << np.uint64(32) | b.tokens
-                distinct, at = np.unique(pair, return_inverse=True)
-                train = np.bincount(at[training(b.lengths, held(b.docs))], minlength=len(distinct)).astype("<u4")
-                out = {
-                    "block": row["block"], "docs": row["docs"], "lengths": row["lengths"],
-                    "numbers": number.tobytes(), "counts": c.astype("<i8").tobytes(), "pairs": pack_sorted(distinct), "at": pack(at.astype("<u4")), "train": pack(train),
-                }
-                yield pa.RecordBatch.from_pylist([out], schema=pa.schema([("block", pa.int64()), *[(k, pa.binary()) for k in list(out)[1:]]]))
-
-    paired = "block long, docs binary, lengths binary, numbers binary, counts binary, pairs binary, at binary, train binary"
-    pair_rows = space.stage(with_answers(block_rows, word_rows).mapInArrow(with_words, paired), "paired", compression="none")
+                out = {"block": row["block"], "docs": row["docs"], "lengths": row["lengths"], "tokens": row["tokens"], "numbers": pack(number), "counts": pack(c.astype("<u8")), "end": int(np.searchsorted(b.words, np.uint64(WORD_HASH_END)))}
+                yield pa.RecordBatch.from_pylist([out], schema=pa.schema([("block", pa.int64()), *[(k, pa.binary()) for k in list(out)[1:-1]], ("end", pa.int64())]))
+
+    numbered = "block long, docs binary, lengths binary, tokens binary, numbers binary, counts binary, `end` long"
+    pair_rows = space.stage(with_answers(block_rows, word_rows).mapInArrow(with_words, numbered), "numbered", compression="none")
     space.sweep()
     space.drop("blocks")
     space.drop("words")
 
     # Pairs: only those of two known words can be seen; the others aren't asked for.
     def split(row: dict) -> tuple[np.ndarray, ...]:
-        number, c = np.frombuffer(row["numbers"], "<u8"), np.frombuffer(row["counts"], "<i8")
-        pair = unpack_sorted(row["pairs"])
+        """Words' numbers and counts; distinct pairs' words; each token's pair; the keys asked for."""
+        number, c = unpack(row["numbers"], "<u8"), unpack(row["counts"], "<u8").astype("i8")
+        b = Block(np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["lengths"], "<i8"), None, unpack(row["tokens"], "<u4"))
+        pair, at = np.unique(previous(b, row["end"]).astype("u8") << np.uint64(32) | b.tokens, return_inverse=True)
         left, right = (pair >> np.uint64(32)).astype("int64"), (pair & np.uint64(0xFFFFFFFF)).astype("int64")
         key = number[left] << np.uint64(32) | number[right]
         wanted = np.where((number[left] > 0) & (number[right] > 0))[0]
         wanted = wanted[np.argsort(key[wanted], kind="stable")]
-        return number, c, left, right, key[wanted], wanted
+        return b, at, number, c, left, right, key[wanted], wanted
 
     def pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        *_, key, wanted = split(row)
-        return key, unpack(row["train"], "<u4")[wanted]
+        b, at, _, _, left, _, key, wanted = split(row)
+        train = np.bincount(at[training(b.lengths, held(b.docs))], minlength=len(left)).astype("<u4")
+        return key, train[wanted]
 
     seen_rows = answer(space, ask(pair_rows, (pairs, parts)), count(False), counted, "seen", parts)
     _, _, low2 = _stats(seen_rows)
@@ -231,15 +227,15 @@ def _score(space: Workspace, block_rows: DataFrame, partition_keys: int) -> Data
 
     def seen(row: dict) -> tuple[np.ndarray, ...]:
         """What split() gives, and each distinct pair's count and whether this block owns it."""
-        number, c, left, right, key, wanted = split(row)
+        b, at, number, c, left, right, key, wanted = split(row)
         found = gather(key, parts, row["answers"], "<u8")
         r, own = np.zeros(len(left), "int64"), np.zeros(len(left), bool)
         r[wanted], own[wanted] = found >> np.uint64(1), found & np.uint64(1)
-        return number, c, left, right, r, own
+        return b, at, number, c, left, right, r, own
 
     # Contexts: for each known word the sums over the pairs it begins, from the pairs' owners.
     def contexts(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        number, c, left, right, r, own = seen(row)
+        _, _, number, c, left, right, r, own = seen(row)
         sums = np.zeros((len(number), 2))
         mine = np.where(own)[0]
         for k, value in enumerate((by_count(d2, r[mine]) * r[mine] / np.maximum(c[left[mine]], 1), uni.p(c[right[mine]]))):
@@ -269,7 +265,7 @@ def _score(space: Workspace, block_rows: DataFrame, partition_keys: int) -> Data
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                number, c, left, right, r, _ = seen(row)
+                b, at, number, c, left, right, r, _ = seen(row)
                 asks = np.zeros(len(number), bool)
                 asks[left] = True
                 wanted = np.where(asks & (number > 0))[0]
@@ -279,12 +275,11 @@ def _score(space: Workspace, block_rows: DataFrame, partition_keys: int) -> Data
                 raised = alpha < 0
                 alpha = np.where(raised, -alpha / (c + 1), alpha)
                 logp = np.log10(np.where(r > 0, by_count(d2, r) * r / np.maximum(c + raised, 1)[left], alpha[left] * uni.p(c[right])))
-                at = unpack(row["at"], "<u4")
-                lengths = np.frombuffer(row["lengths"], "<i8")
+                lengths = b.lengths
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 token_c = c[right][at]
                 sums = [np.bincount(doc, w, minlength=len(lengths)) for w in (logp[at], np.log10(token_c + 1) - scale, token_c > 0)]
-                ids = np.frombuffer(row["docs"], "<i8")
+                ids = b.docs
                 yield pa.RecordBatch.from_arrays(
                     [doc_array(ids), pa.array(held(ids)), pa.array(lengths), pa.array(sums[2].astype("int64")), pa.array(np.full(len(ids), n)), pa.array(sums[1]), pa.array(sums[0])],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
