@@ -29,7 +29,7 @@ BLOCK_TOKENS = 1_000_000
 
 
 def _squeeze(planes: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(planes.T.tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(planes.T.tobytes())
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
