@@ -299,7 +299,7 @@ def plugins(stop):
 
 def test_set_tier_matches_ordered_tier(spark):
     rng = random.Random(7)
-    texts = ["".join(rng.choice("aabbs,;;z") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts = ["".join(rng.choice("aabbs,;;z") for _ in range(rng.randint(1, 40))) for _ in range(100)]
     rows = buffers(spark, [(t.encode(), "root") for t in texts])
     length = Analyzer("length", lambda c: Output(values={"n": c.size}, folds={"total": ("sum", c.size)}))
     text = lambda c: F.decode(c.content, "ISO-8859-1")
