@@ -267,6 +267,15 @@ def test_passages(spark, empty):
     assert substring_dedup.passages(empty).count() == 0
 
 
+def test_passages_of_many_partitions(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3)]
+    at = {130: 0, 140: 0, 256: 1, 290: 1, 0: 2, 299: 2}
+    df = spark.sparkContext.parallelize(range(300), 300).map(lambda i: (i, texts[at[i]] if i in at else f"only {i}")).toDF("doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["end"], r["first_id"], r["first_start"], r["first_end"]) for r in substring_dedup.passages(df).collect()}
+    assert got == {(140, 0, 60, 130, 0, 60), (290, 0, 60, 256, 0, 60), (299, 0, 60, 0, 0, 60)}
+
+
 def test_chains_match_brute_force():
     rng = random.Random(4)
     k = substring_dedup.K
