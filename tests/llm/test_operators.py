@@ -276,6 +276,31 @@ def test_passages_of_many_partitions(spark):
     assert got == {(140, 0, 60, 130, 0, 60), (290, 0, 60, 256, 0, 60), (299, 0, 60, 0, 0, 60)}
 
 
+def test_passages_of_frequent_lines(spark):
+    """Each run of MIN_WORDS words that an earlier document has is in a passage, however often its lines occur."""
+    rng = random.Random(11)
+    lines = [[f"w{rng.randrange(10**6)}" for _ in range(12)] for _ in range(30)]
+    rest = lambda: [f"x{rng.randrange(10**9)}" for _ in range(9)]
+    texts = [sum((lines[k] + rest() for k in rng.sample(range(30), 3)), []) for _ in range(40)]
+    for _ in range(12):
+        passage = [lines[k] for k in rng.sample(range(30), 6)]
+        texts += [rest() + passage[k] + passage[k + 1] + rest() for k in range(5)]  # also where lines meet
+        texts += [rest() + sum(passage, []) + rest() for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    covered = collections.defaultdict(set)
+    for r in substring_dedup.passages(df, block_tokens=400).collect():
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+    n, seen, due = substring_dedup.MIN_WORDS, set(), 0
+    for d, t in enumerate(texts):
+        runs = [tuple(t[k : k + n]) for k in range(len(t) - n + 1)]
+        for k, run in enumerate(runs):
+            if run in seen:
+                due += 1
+                assert covered[d] >= set(range(k, k + n)), (d, k)
+        seen.update(runs)
+    assert due > 100
+
+
 def test_chains_match_brute_force():
     rng = random.Random(4)
     k = substring_dedup.K
