@@ -320,6 +320,28 @@ def test_chains_match_brute_force():
             assert np.all(np.diff(a[c]) > 0) and np.all(np.diff(b[c]) > 0)
 
 
+def test_chains_of_two_passages_match_brute_force():
+    """A long chain far off doesn't hide the near predecessors of a second one."""
+    rng = random.Random(8)
+    k, reach, cost = substring_dedup.K, substring_dedup.MAX_GAP + substring_dedup.K, substring_dedup.GAP_COST
+    gain = lambda p, q: min(k, q[0] - p[0], q[1] - p[1]) - cost * (q[0] - p[0] + q[1] - p[1])
+    for trial in range(60):
+        pairs = {(4 * i, 4 * i) for i in range(30)} | {(300 + 6 * i + i // 4, 300 + 6 * i) for i in range(12)}
+        pairs |= {(rng.randrange(400), rng.randrange(400)) for _ in range(trial)} | {(340 + 6 * i, 6 * i) for i in range(trial % 9)}
+        pairs = sorted(pairs)
+        best = [float(k)] * len(pairs)
+        for i, (x, y) in enumerate(pairs):
+            for j, (u, v) in enumerate(pairs[:i]):
+                if u < x and v < y and x - u <= reach and y - v <= reach:
+                    best[i] = max(best[i], best[j] + gain((u, v), (x, y)))
+        found = substring_dedup.chains(*(np.array(x) for x in zip(*pairs, strict=True)))
+        assert sorted(i for c in found for i in c.tolist()) == list(range(len(pairs)))
+        score = [k + sum(gain(pairs[p], pairs[q]) for p, q in zip(c[:-1], c[1:], strict=True)) for c in found]
+        assert max(score) == pytest.approx(max(best))
+        second = max(range(len(pairs)), key=lambda i: best[i] if pairs[i][0] >= 300 else 0)
+        assert any(second in c and len(c) >= 12 for c in found)
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 
