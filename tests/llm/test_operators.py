@@ -301,6 +301,29 @@ def test_passages_of_frequent_lines(spark):
     assert due > 100
 
 
+def test_passages_with_few_anchors(spark):
+    """One anchor is enough, and a passage goes on as far as the texts are alike."""
+    rng = random.Random(21)
+    text = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    keys = lambda words: set(substring_dedup.seeds(np.array([near_dedup.word_hash(w.encode()) for w in words], "u8"), np.zeros(len(words), "int64"))[0].tolist())
+
+    def pair(n, alike):
+        """Four words alike and one not, but for one run of ``alike`` words in the middle."""
+        a = text(n)
+        return a, [w if k % 5 or 0 <= k - n // 2 < alike else f"z{w}" for k, w in enumerate(a)]
+
+    long = pair(900, 12)
+    short = next(p for p in iter(lambda: pair(60, 9), None) if len(keys(p[0]) & keys(p[1])) == 1)
+    rows = [text(30) + short[0] + text(30), text(20) + long[0] + text(20), text(40) + short[1] + text(10), text(50) + long[1] + text(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in substring_dedup.passages(df).collect()}
+    assert sorted(got) == [2, 3]
+    for d, first, at, first_at, p in ((2, 0, 40, 30, short), (3, 1, 50, 20, long)):
+        r, n = got[d], len(p[0])
+        assert r["first_id"] == first and r["start"] - at == r["first_start"] - first_at
+        assert abs(r["start"] - at) <= 1 and abs(r["end"] - at - n) <= 1
+
+
 def test_chains_match_brute_force():
     rng = random.Random(4)
     k = substring_dedup.K
