@@ -148,7 +148,7 @@ def global_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = Analyzer("urls", lambda c: Output(findings=F.transform(F.slice(F.regexp_extract_all(F.decode(c.content, "UTF-8"), F.lit('href="([^"]*)"'), F.lit(1)), 1, 1000), lambda u: finding(u, F.lit("href")))))
+    a = Analyzer("urls", lambda c: Output(findings=F.transform(F.regexp_extract_all(F.decode(c.content, "UTF-8"), F.lit('href="([^"]*)"'), F.lit(1)), lambda u: finding(u, F.lit("href")))))
     result = ScannerBuilder(["Html"]).add_identifier(HTML).add_analyzer("Html", 0, a).build().scan(pages(spark, sf_dir))
     return result.findings().select(F.col("scan_id").alias("page_id"), F.col("seq").cast("long").alias("seq"), "finding", "source", "type")
 

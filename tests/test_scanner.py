@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from bytegrove import queries
 from bytegrove.operators import plugins as P
 from bytegrove.operators.analyze import EXIT, SKIP, Analyzer, AnalyzerList, Output, Registered, finding, request
 from bytegrove.operators.extract import content, entry
@@ -144,6 +145,13 @@ def test_requests(spark):
     assert lines == ["root", "  left", "    deep", "  right"]
 
 
+def test_findings_join_keeps_all_links(spark, tmp_path):
+    html = "<!DOCTYPE html>" + "".join(f'<a href="/{k}">' for k in range(2500))
+    spark.createDataFrame([(7, "http://a.com/x", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.findings_join(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["page_id"], r["seq"], r["finding"]) for r in rows] == [(7, k, f"/{k}") for k in range(2500)]
+
+
 def test_findings(spark):
     a = Analyzer("a", lambda c: Output(findings=F.array(finding(F.lit("x"), metadata=F.struct(c.size.alias("n"))), finding(c.path, F.lit("src")))))
     rows = ScannerBuilder(["A"]).add_generic_analyzer(0, a).build().scan(buffers(spark, [(b"ab", "p", "A")])).findings().orderBy("seq").collect()
