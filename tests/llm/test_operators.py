@@ -324,6 +324,26 @@ def test_passages_with_few_anchors(spark):
         assert abs(r["start"] - at) <= 1 and abs(r["end"] - at - n) <= 1
 
 
+def test_passages_of_repeating_phrases(spark):
+    """Runs at many distances from one place don't use up each other's anchors."""
+    rng = random.Random(13)
+    text = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for size in (1, 2, 3, 7, 11):
+        phrase = text(size)
+        texts += [text(20) + phrase * -(-n // size) + text(20) for n in (67, 140, 300)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    covered = collections.defaultdict(set)
+    for r in substring_dedup.passages(df).collect():
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+    n, seen = substring_dedup.MIN_WORDS, set()
+    for d, t in enumerate(texts):
+        runs = [tuple(t[k : k + n]) for k in range(len(t) - n + 1)]
+        for k, run in enumerate(runs):
+            assert run not in seen or covered[d] >= set(range(k, k + n)), (d, k)
+        seen.update(runs)
+
+
 def test_chains_match_brute_force():
     rng = random.Random(4)
     k = substring_dedup.K
