@@ -53,8 +53,6 @@ class Packed:
 
 def cut(docs: DataFrame, vocab: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """Tokenise whole texts; a row for each piece."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -62,14 +60,17 @@ def cut(docs: DataFrame, vocab: str, limit: int = LIMIT, end_id: int = END_ID) -
         for batch in batches:
             for i, j in text_slices(batch):
                 part = batch.slice(i, j - i)
-                out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder(vocab).encode(part.column(1).to_pylist(), end), strict=True):
-                    for k, a in enumerate(range(0, len(ids), 4 * limit)):
-                        out.append((next_id, doc, k, a // 4, min(limit, (len(ids) - a) // 4), ids[a : a + 4 * limit]))
-                        next_id += 1
-                cols = list(zip(*out, strict=True))
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["piece_id", "doc_id", "piece", "start", "length", "ids"])
+                flat, sizes = encoder(vocab).encode_column(part.column(1), end_id)
+                each = -(-sizes // limit)
+                n = int(each.sum())
+                doc = np.repeat(np.arange(len(sizes)), each)
+                piece = np.arange(n) - np.repeat(np.cumsum(each) - each, each)
+                length = np.minimum(limit, sizes[doc] - piece * limit)
+                offsets = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(length)]).astype("<i4"))
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(flat.astype("<u4"))])
+                columns = [pa.array(np.arange(next_id, next_id + n)), part.column(0).take(pa.array(doc)), pa.array(piece.astype("int32")), pa.array(piece * limit), pa.array(length), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["piece_id", "doc_id", "piece", "start", "length", "ids"])
+                next_id += n
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
 

@@ -34,8 +34,6 @@ SCHEMA = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
 def write_token_orc(docs: DataFrame, path: str, vocab: str, shards: int, end_id: int = END_ID) -> None:
     """Encode whole texts and write them as ORC below ``path`` in ascending doc_id order."""
     prepare(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -43,10 +41,9 @@ def write_token_orc(docs: DataFrame, path: str, vocab: str, shards: int, end_id:
         for batch in batches:
             for i, j in text_slices(batch):
                 part = batch.slice(i, j - i)
-                rows = encoder(vocab).encode(part.column(1).to_pylist(), end)
-                n = np.array([len(r) // 4 for r in rows], "int64")
+                flat, n = encoder(vocab).encode_column(part.column(1), end_id)
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(flat.view("<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, "int32")), pa.array(place + ends - n), pa.array(n), ids], ["doc_id", "shard", "place", "n_tokens", "ids"])
                 place += int(ends[-1])
 

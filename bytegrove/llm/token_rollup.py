@@ -35,8 +35,8 @@ def count_tokens(docs: DataFrame, vocab: str, tokenizer: str) -> DataFrame:
         for batch in batches:
             for i, j in text_slices(batch):
                 part = batch.slice(i, j - i)
-                n = [len(r) // 4 for r in encoder(vocab).encode(part.column(3).to_pylist(), b"")]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
+                n = encoder(vocab).encode_column(part.column(3))[1]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n.astype("int64"))], ["doc_id", "source", "lang", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
     return rows.mapInArrow(run, COUNTS).withColumn("tokenizer", F.lit(tokenizer))
