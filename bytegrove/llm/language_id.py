@@ -9,8 +9,8 @@ smoothed towards their domain, which is smoothed towards all rows; a row's own p
 Evidence that is missing counts for nothing. A row is kept if its best language is a known one
 with a posterior of MIN_POSTERIOR or more.
 
-Defined cases: null and empty texts have no text evidence and are rejected; a null host uses the
-prior of all rows; repeated rows are judged alike; ties go to the language first in order; an empty
+Defined cases: null and empty texts, and those of one or two characters, have no text evidence and
+are rejected; a null host uses the prior of all rows; repeated rows are judged alike; ties go to the language first in order; an empty
 table gives no rows; without labelled rows every row is rejected; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Workspace, prepare, salted, text_slices
+from .common import LOWER, Workspace, joined, prepare, salted, text_slices
 
 LANGUAGES = ("de", "en", "es", "fr")
 OTHER = "other"
@@ -40,16 +40,29 @@ SMOOTH_DOMAIN, SMOOTH_HOST = 50.0, 20.0
 OTHER_PRIOR = 0.02
 MIN_POSTERIOR = 0.5
 HOT_PART = 0.001
+#: Bytes of text that a worker scores at a time.
+SLICE_BYTES = 1 << 20
+#: Labels below a country suffix that are no domain of one owner.
+SHARED_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Country suffixes that name one of the languages.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 
 
-def grams(data: bytes) -> np.ndarray:
+_LOWER = np.frombuffer(bytes(range(256)).translate(LOWER), "u1")
+
+
+def grams(data: bytes | np.ndarray) -> np.ndarray:
     """Class of each byte trigram of lower-cased UTF-8 text."""
-    b = np.frombuffer(data.translate(LOWER), "u1").astype("u4")
+    b = _LOWER[np.frombuffer(data, "u1")]
     if len(b) < 3:
-        return np.zeros(0, "u4")
-    return (((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+        return np.zeros(0, "u2")
+    g = b[:-2].astype("u4")
+    for more in (b[1:-1], b[2:]):
+        g <<= np.uint32(8)
+        g |= more
+    g *= np.uint32(2654435761)
+    g >>= np.uint32(16)
+    return g.astype("u2")
 
 
 @dataclass
@@ -67,14 +80,19 @@ class TextModel:
         p = np.log(counts / counts.sum(1, keepdims=True))
         return cls(np.vstack([p, np.full((1, GRAMS), -np.log(GRAMS))]).astype("f4"))
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """Weighted log-likelihoods, rows by languages."""
-        found = [grams((t or "").encode()) for t in texts]
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Weighted log-likelihoods, rows by languages, of a text column."""
+        raw, at = joined(texts)
         out = np.zeros((len(texts), len(self.table)))
-        sizes = np.array([len(g) for g in found])
-        has = np.where(sizes > 0)[0]
+        sizes = np.maximum(np.diff(at) - 2, 0)
+        has = np.flatnonzero(sizes)
         if len(has):
-            flat = np.concatenate([found[i] for i in has])
+            # Trigrams of all texts in a row, without those that span two texts.
+            whole = np.ones(len(raw) - 2, bool)
+            for back in (1, 2):
+                cut = at[1:-1] - back
+                whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+            flat = grams(raw)[whole]
             starts = np.cumsum(sizes[has]) - sizes[has]
             for k, row in enumerate(self.table):
                 out[has, k] = np.add.reduceat(row[flat], starts, dtype="f8") * TEXT_WEIGHT
@@ -105,7 +123,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
         suffix = F.when(host.endswith(f".{ending}"), lang).otherwise(suffix)
     declared = F.lower(F.regexp_extract(html, r"(?is)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1))
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
-    return pages.select(F.col("page_id").cast("long").alias("id"), F.nullif(declared, F.lit("")).alias("declared"), F.when(path.isin(*LANGUAGES), path).otherwise(suffix).alias("address"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), text.alias("text"))
+    labels = F.split(host, r"\.")
+    shared = (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(*SHARED_LABELS)
+    domain = F.when(shared, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return pages.select(F.col("page_id").cast("long").alias("id"), F.nullif(declared, F.lit("")).alias("declared"), F.when(path.isin(*LANGUAGES), path).otherwise(suffix).alias("address"), host.alias("host"), domain.alias("domain"), text.alias("text"))
 
 
 def _softmax(logs: np.ndarray) -> np.ndarray:
@@ -146,9 +167,9 @@ def identify(evidence: DataFrame, model: TextModel, space: Workspace | None = No
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Text log-likelihoods (t) and the posterior from them under an even prior (o)."""
         for batch in batches:
-            for i, j in text_slices(batch, 4 << 20):
+            for i, j in text_slices(batch, SLICE_BYTES):
                 part = batch.slice(i, j - i)
-                t = model.score(part.column(part.num_columns - 1).to_pylist())
+                t = model.score(part.column(part.num_columns - 1))
                 o = _softmax(t + np.log(EVEN)) * np.array(part.column(2).to_pylist())[:, None]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, np.ascontiguousarray(np.hstack([t, o]).T))], [*passed, *_columns("t"), *_columns("o")])
 
@@ -162,12 +183,15 @@ def identify(evidence: DataFrame, model: TextModel, space: Workspace | None = No
     # Hosts, domains and all rows: sums of the rows' own posteriors.
     sums = [F.sum(o).alias(h) for o, h in zip(_columns("o"), _columns("h"), strict=True)]
     hosts = space.stage(scored.groupBy("host_key", "domain_key").agg(F.count(F.lit(1)).alias("n"), *sums), "hosts")
-    domains = hosts.groupBy("domain_key").agg(*[F.sum(h).alias(d) for h, d in zip(_columns("h"), _columns("d"), strict=True)])
+    domains = hosts.groupBy("domain_key").agg(F.count(F.lit(1)).alias("hosts"), *[F.sum(h).alias(d) for h, d in zip(_columns("h"), _columns("d"), strict=True)])
     totals = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum(h), F.lit(0.0)) for h in _columns("h")]).first()
     whole = np.array(totals[1:])
     top = (whole + EVEN * SMOOTH_DOMAIN) / (whole.sum() + SMOOTH_DOMAIN)
     hot = hosts.where(F.col("n") >= F.lit(max(1000, int(totals[0] * HOT_PART)))).select("host_key")
-    joined = salted(spark, scored.drop("domain_key"), hosts.join(domains, "domain_key").drop("domain_key", "n"), "host_key", hot)
+    # A domain of very many hosts (all hosts without a domain are of one) goes to its hosts by broadcast.
+    wide = domains.where(F.col("hosts") >= F.lit(max(1000, int(totals[0] * HOT_PART)))).select("domain_key")
+    placed = salted(spark, hosts, domains.drop("hosts"), "domain_key", wide)
+    rows = salted(spark, scored.drop("domain_key"), placed.drop("domain_key", "n"), "host_key", hot)
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +207,7 @@ def identify(evidence: DataFrame, model: TextModel, space: Workspace | None = No
             kept = np.array(batch.column("has_text").to_pylist(), bool) & (best < len(LANGUAGES)) & (posterior >= MIN_POSTERIOR)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array([NAMES[b] for b in best]), pa.array(posterior), pa.array(kept)], ["id", "hash", "lang", "posterior", "kept"])
 
-    return joined.mapInArrow(fuse, "id long, hash long, lang string, posterior double, kept boolean")
+    return rows.mapInArrow(fuse, "id long, hash long, lang string, posterior double, kept boolean")
 
 
 def _smoothed(counts: np.ndarray, parent: np.ndarray, strength: float) -> np.ndarray:
