@@ -10,17 +10,20 @@ the signature, and two signatures agree in a component with the weighted Jaccard
 probability. Points come in ascending time, so only the few before a document's bound are made;
 where a component stays empty the bound is raised and the document redone.
 
-Bands of ROWS components make buckets. Each document is first compared, by the exact multiset
-overlap, with the one pivot it shares most buckets with, and links are contracted to components.
+Bands of ROWS components make buckets. Each bucket's pivot is the member that meets most others in
+all its buckets: the text that copies were made from meets them more often than they meet each
+other. Each document is first compared, by the exact multiset overlap, with the one pivot it shares
+most buckets with, and links are contracted to components.
 What then still lies in two or more classes of a bucket is compared in blocks: a bucket is cut
 into chunks of CHUNK documents, and a task takes two chunks. It counts agreeing components for
-all their pairs of different classes at once, and keeps, as lists, those that may reach the
-threshold and whose first common band is this bucket's; another pass takes the texts of these
-documents and computes the exact overlap, leaving out pairs that links found so far connect. So
-every pair of a bucket is either connected or compared, no pair becomes a row of its own unless
-it is a link between classes, and a large group is many tasks. Documents with the same multiset
-are one document here, so copies never multiply. A link of similarity 0.8 is missed with
-probability (1 - 0.8^4)^32, 5e-8, by bands and 1e-9 by agreement; more similar ones with less.
+all their pairs of different classes at once, and keeps, as one list for each document, those
+that may reach the threshold and whose first common band (by the buckets' own keys) is this bucket's;
+another pass takes the texts of these documents and computes the exact overlap, leaving out pairs
+that links found so far connect. So every pair of a bucket is either connected or compared; a unit has
+at most 2 CHUNK rows and its lists at most CHUNK^2 numbers, and a large group is many tasks. Documents
+with the same multiset are one document here, so copies never multiply. A link of similarity 0.8 is
+missed with probability (1 - 0.8^4)^32, 5e-8, by bands and 1e-9 by agreement; more similar ones
+with less.
 
 Defined cases: texts under five words have their whole word list as one shingle; null, empty and
 wordless texts are one class; of rows with the same doc_id one stays; a null doc_id loses against
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, prepare, salted, text_slices
+from .common import Workspace, prepare, salted, split_words, text_slices
 
 WORDS, THRESHOLD = 5, 0.8
 #: Signature: BANDS * ROWS components.
@@ -51,31 +54,28 @@ CHUNK = 512
 LEAST_AGREEMENT = int(BANDS * ROWS * (THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5))
 #: Expected points for each component beyond its logarithm; more means fewer repeats.
 SPARE = 2.5
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 1_000_000
 #: Groups of rows with one multiset that have this part of all rows are joined by broadcast.
 HOT_PART = 0.001
 
 
-#: All but letters, marks and digits.
-_ELSE = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+#: All but letters, marks, digits and line feeds.
+_ELSE = regex.compile(r"[^\p{L}\p{M}\p{N}\n]+")
 
 
-def word_hash(token: bytes) -> int:
-    """Of a token in lower case without punctuation; 0 if nothing is left."""
-    word = _ELSE.sub("", token.decode().lower())
-    return (xxhash.xxh3_64_intdigest(word) or 1) if word else 0
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Of words (none has a line feed) in lower case without punctuation; 0 where nothing is left."""
+    if not words:
+        return np.zeros(0, "u8")
+    plain = _ELSE.sub("", b"\n".join(words).decode().lower()).split("\n")
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter(((digest(w) or 1) if w else 0 for w in plain), "u8", len(plain))
 
 
-class _Words(dict):
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[token] = h = word_hash(token)
-        return h
+def word_hash(word: bytes) -> int:
+    """Of one word."""
+    return int(word_hashes([word])[0])
 
 
-_WORDS = _Words()
 _ALL = (1 << 64) - 1
 
 
@@ -85,18 +85,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Hashes of the shingles of each text of a column, ascending, with repeats."""
+    codes, found, counts = split_words(texts)
+    hashes = word_hashes(found)
+    h = hashes[codes]
+    ends = np.cumsum(counts)
+    out = []
+    for a, z in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        x = h[a:z]
+        if len(x):
+            keep = x[x != 0]
+            x = keep if len(keep) else np.fromiter((xxhash.xxh3_64_intdigest(found[c]) for c in codes[a:z]), "u8", z - a)
+            k = min(words, len(x))
+            key = np.zeros(len(x) - k + 1, "u8")
+            for i in range(k):
+                key = key * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(key)]
+            x = np.sort(mix64(key + np.uint64(k)))
+        out.append(x)
+    return out
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Hashes of the shingles of a text, ascending, with repeats."""
-    found = (text or "").encode().split()
-    h = np.fromiter(map(_WORDS.__getitem__, found), "u8", len(found))
-    if not len(h):
-        return h
-    h = h[h != 0] if h.any() else np.fromiter(map(xxhash.xxh3_64_intdigest, found), "u8", len(found))
-    k = min(words, len(h))
-    out = np.zeros(len(h) - k + 1, "u8")
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
-    return np.sort(mix64(out + np.uint64(k)))
+    """The shingles of one text."""
+    return shingle_sets(pa.array([text], pa.large_string()), words)[0]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -173,11 +185,11 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """Sixteen bits of each component, for counting agreements."""
-    return (mix64(sig.view("u8")) >> np.uint64(48)).astype("<u2")
+    """Eight bits of each component, for counting agreements: equal components are never missed."""
+    return (mix64(sig.view("u8")) >> np.uint64(56)).astype("u1")
 
 
-SIGNED = "rid long, doc_id long, hash long, fp binary, sketch binary, bands array<long>"
+SIGNED = "rid long, doc_id long, hash long, fp binary, sketch binary, bands binary"
 
 
 def _sign(docs: DataFrame) -> DataFrame:
@@ -186,16 +198,16 @@ def _sign(docs: DataFrame) -> DataFrame:
 
         next_id = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i, j in text_slices(batch, 4 << 20):
+            for i, j in text_slices(batch, 1 << 20):
                 part = batch.slice(i, j - i)
-                found = [shingles(t) for t in part.column(2).to_pylist()]
+                found = shingle_sets(part.column(2))
                 sig = signatures(found)
                 keys, sketch = band_keys(sig), sketches(sig)
                 n = len(found)
                 # Two sums of scrambled hashes and the size identify a multiset.
                 fp = [b"%d:" % len(s) + mix64(s ^ np.uint64(0x51)).sum(dtype="u8").tobytes() + mix64(s ^ np.uint64(0xA3)).sum(dtype="u8").tobytes() for s in found]
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * BANDS), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), bands], ["rid", "doc_id", "hash", "fp", "sketch", "bands"])
+                bands = [x.tobytes() for x in keys.astype("<i8")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(bands, pa.binary())], ["rid", "doc_id", "hash", "fp", "sketch", "bands"])
                 next_id += n
 
     text = F.col("text").cast("string")
@@ -209,10 +221,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         last, known = None, np.zeros(0, "u8")
         for batch in batches:
             keep = []
-            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            sets = shingle_sets(batch.column(2))
+            for k, (a, b, mine) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True)):
                 if b != last:
-                    last, known = b, shingles(tb)
-                mine = shingles(ta)
+                    last, known = b, shingles(batch.column(3)[k].as_py())
                 few, many = sorted((len(mine), len(known)))
                 if few >= threshold * many and overlap(mine, known) >= threshold:
                     keep.append((a, b))
@@ -229,9 +241,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 UNIT = ("key", "i", "j")
 
 
-def _units(batches: Iterator[pa.RecordBatch], extra: str) -> Iterator[tuple[tuple, dict[str, list]]]:
+def _units(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
     """Rows sorted by unit, a unit at a time."""
-    names = ("rid", "label", "side", "band", extra)
+    names = ("rid", "label", "side", "band", *extra)
     unit, rows = None, {n: [] for n in names}
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in UNIT), strict=True))
@@ -253,27 +265,27 @@ def _units(batches: Iterator[pa.RecordBatch], extra: str) -> Iterator[tuple[tupl
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document of a unit that may link to others: their list."""
-    for (key, i, j), rows in _units(batches, "sketch"):
-        sketch = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(len(rows["rid"]), -1)
+    """A row for each document of a unit that may link to others of it: the list of those with larger
+    numbers of rows in the unit, which may be empty for a document that is only in others' lists."""
+    for (key, i, j), rows in _units(batches, ("sketch", "bands")):
+        sketch = np.frombuffer(b"".join(rows["sketch"]), "u1").reshape(len(rows["rid"]), -1)
+        keys = np.frombuffer(b"".join(rows["bands"]), "<i8").reshape(len(rows["rid"]), -1)
         rid, label, side = (np.array(rows[n], "int64") for n in ("rid", "label", "side"))
         left = np.where(side == 0)[0]
         right = np.where(side == 1)[0] if i != j else left
-        out = []
+        lists: dict[int, list[int]] = {}
         for a in left.tolist():
             others = right[label[right] != label[a]] if i != j else right[(right > a) & (label[right] != label[a])]
-            if not len(others):
-                continue
-            same = sketch[others] == sketch[a]
-            near = same.sum(axis=1) >= LEAST_AGREEMENT
-            if not near.any():
-                continue
-            others, same = others[near], same[near]
-            first = same.reshape(len(others), -1, ROWS).all(axis=2).argmax(axis=1) == rows["band"][a]
-            if first.any():
-                out.append((key, i, j, int(rid[a]), rid[others[first]].tolist()))
-        if out:
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            others = others[(sketch[others] == sketch[a]).sum(axis=1) >= LEAST_AGREEMENT]
+            # Pairs that meet in an earlier bucket are compared there.
+            others = others[(keys[others] == keys[a]).argmax(axis=1) == rows["band"][a]]
+            if len(others):
+                lists.setdefault(a, []).extend(rid[others].tolist())
+                for b in others.tolist():
+                    lists.setdefault(b, [])
+        if lists:
+            out = [(key, i, j, int(rid[a]), found) for a, found in lists.items()]
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*UNIT, "rid", "others"])
 
 
@@ -282,7 +294,7 @@ def _links(threshold: float):
     classes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _units(batches, "text"):
+        for _, rows in _units(batches, ("text",)):
             place = {r: k for k, r in enumerate(rows["rid"])}
             found: dict[int, np.ndarray] = {}
             parent = {x: x for x in rows["label"]}
@@ -350,15 +362,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace
     # One row stands for all with its multiset.
     groups = space.stage(rows.groupBy("fp").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
     heads = signed.select(F.col("rid").alias("rep"), "bands").join(groups.select("rep"), "rep")
-    buckets = heads.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("rid"))
-    several = buckets.groupBy("key").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("size")).where("pivot < last").drop("last")
+    # Keys lie in ``bands`` as they are told apart here: eight bytes each, the band in their order.
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("bands", 8 * i + 1, F.lit(8)))
+    buckets = heads.select(F.posexplode(keys).alias("band", "key"), F.col("rep").alias("rid"))
+    several = buckets.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("size")).where("first < last").drop("first", "last")
     members = space.stage(buckets.join(several, "key"), "members")
-    wanted = members.select("rid").distinct().join(signed.select("rid", "doc_id", "hash", "sketch"), "rid")
+    wanted = members.select("rid").distinct().join(signed.select("rid", "doc_id", "hash", "sketch", "bands"), "rid")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), text.alias("text"))
     # A stretch of candidates' texts; of rows with one doc_id and text any serves.
     same = wanted["doc_id"].eqNullSafe(whole["d"]) & (wanted["hash"] == whole["h"])
-    texts = space.stage(whole.join(wanted, same).select("rid", "text", "sketch").dropDuplicates(["rid"]), "texts", compression="zstd")
+    texts = space.stage(whole.join(wanted, same).select("rid", "text", "sketch", "bands").dropDuplicates(["rid"]), "texts", compression="zstd")
     space.sweep()
     labels = space.stage(members.select("rid", F.col("rid").alias("label")).distinct(), "labels-0")
 
@@ -369,27 +383,29 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace
         parts = components(edges, space, f"edges-{k}")
         return space.stage(labels.join(parts, labels["label"] == parts["u"], "left").select("rid", F.coalesce("v", "label").alias("label")), f"labels-{k}")
 
-    # First each document with the pivot that it shares most buckets with.
-    shared = members.where("rid <> pivot").groupBy("rid", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    # First each document with the pivot that it shares most buckets with. Copies of one text meet it
+    # more often than each other, so a bucket's pivot is the member with most partners in all its buckets.
+    met = members.groupBy("rid").agg(F.sum("size").alias("met"))
+    ranked = members.select("rid", "key").join(met, "rid")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("rid")).alias("rid"))).alias("x")).select("key", (-F.col("x.rid")).alias("pivot"))
+    shared = members.select("rid", "key").join(pivots, "key").where("rid <> pivot").groupBy("rid", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy(F.col("rid").alias("a")).agg(F.max(F.struct("n", "pivot")).alias("x")).select("a", F.col("x.pivot").alias("b"))
-    labels = relabel(space.stage(_verify(best, texts.drop("sketch"), threshold), "links-1"), 1)
+    labels = relabel(space.stage(_verify(best, texts.select("rid", "text"), threshold), "links-1"), 1)
     space.sweep()
 
     # Then what is left of each bucket, in blocks of two chunks.
-    known = members.drop("pivot").join(labels, "rid")
+    known = members.join(labels, "rid")
     open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = space.stage(known.join(open_, "key"), "open")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     chunked = left.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     spread = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rid", "label", F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"), "band")
-    joined = spread.join(texts.select("rid", "sketch"), "rid")
-    dealt = joined.repartition(*UNIT).sortWithinPartitions(*UNIT, "rid").select(*UNIT, "rid", "label", "side", "band", "sketch")
-    lists = space.stage(dealt.mapInArrow(_candidates, "key long, i int, j int, rid long, others array<long>"), "lists")
+    joined = spread.join(texts.select("rid", "sketch", "bands"), "rid")
+    dealt = joined.repartition(*UNIT).sortWithinPartitions(*UNIT, "rid").select(*UNIT, "rid", "label", "side", "band", "sketch", "bands")
+    lists = space.stage(dealt.mapInArrow(_candidates, "key binary, i int, j int, rid long, others array<long>"), "lists")
     if not lists.isEmpty():
-        named_ = lists.select(*UNIT, "rid", "others").unionByName(lists.select(*UNIT, F.explode("others").alias("rid"), F.lit(None).cast("array<long>").alias("others")).distinct())
-        # A document's own list, and its mention in others' lists: one row.
-        needed = named_.groupBy(*UNIT, "rid").agg(F.flatten(F.collect_list("others")).alias("band"))
+        needed = lists.withColumnRenamed("others", "band")
         with_text = needed.join(labels, "rid").join(texts.select("rid", "text"), "rid").withColumn("side", F.lit(0))
         dealt = with_text.repartition(*UNIT).sortWithinPartitions(*UNIT, "rid").select(*UNIT, "rid", "label", "side", "band", "text")
         links = space.stage(dealt.mapInArrow(_links(threshold), "a long, b long"), "links-2")
