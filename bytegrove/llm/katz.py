@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Workspace, prepare
+from .common import Workspace, prepare
 from .packed import ANSWER, BLOCK_TOKENS, NO_DOC, Block, answer, ask, blocks, deal, doc_array, gather, pack, pack_sorted, totals, unpack, unpack_sorted, with_answers
 
 #: Counts up to this are discounted.
@@ -56,8 +56,8 @@ END = b"\n"  # no word has a line feed
 WORD_HASH_END = xxhash.xxh3_64_intdigest(END)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().translate(LOWER).split(), END]
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
 
 
 def held_out(doc_id: int) -> bool:
@@ -137,7 +137,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, partition_key
     prepare(spark)
     space = space or Workspace(spark, "katz")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    block_rows = space.stage(blocks(docs, tokens, xxhash.xxh3_64_intdigest, block_tokens), "blocks", compression="none")
+    block_rows = space.stage(blocks(docs, hashes, END, block_tokens), "blocks", compression="none")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a block from here on
     try:
         return _score(space, block_rows, partition_keys)

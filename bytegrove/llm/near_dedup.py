@@ -67,8 +67,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     if not words:
         return np.zeros(0, "u8")
     plain = _ELSE.sub("", b"\n".join(words).decode().lower()).split("\n")
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(((digest(w) or 1) if w else 0 for w in plain), "u8", len(plain))
+    out = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), "u8", len(plain))
+    out[out == 0] = 1
+    out[out == xxhash.xxh3_64_intdigest("")] = 0
+    return out
 
 
 def word_hash(word: bytes) -> int:

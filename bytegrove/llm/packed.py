@@ -8,21 +8,22 @@ answers in the order of its keys. A key costs one entry for each block, however
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_slices
+from .common import Workspace, split_words
 
-#: Tokens of a block, at most.
-BLOCK_TOKENS = 1_000_000
+#: Tokens of a block, as planned: bytes of text for each, and for each document besides, so that empty
+#: documents fill blocks, too.
+BLOCK_TOKENS, TOKEN_BYTES, DOC_BYTES = 1_000_000, 6, 12
 
 
 # --- packed columns ---------------------------------------------------------------------
@@ -77,46 +78,52 @@ BLOCKS = "block long, docs binary, lengths binary, words binary, tokens binary"
 NO_DOC = -(1 << 63)
 
 
-def blocks(docs: DataFrame, tokens: Callable[[str | None], list[bytes]], hashed: Callable[[bytes], int], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of whole documents (doc_id, text); one longer than a block is alone in it."""
+def blocks(docs: DataFrame, hashed: Callable[[list[bytes]], np.ndarray], end: bytes | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of whole documents (doc_id, text); one longer than a block is alone in it.
+
+    Words are cut as by split_words and told apart by ``hashed``; ``end`` follows each document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        ids: list[int] = []
-        runs: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        texts: list[pa.Array] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, held
-            hashes = np.fromiter(map(hashed, number), "u8", len(number))
-            order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(order), "<u4")
-            place[order] = np.arange(len(order))
-            all_tokens = np.concatenate(runs)
-            row = (block, np.array(ids, "<i8").tobytes(), np.array([len(r) for r in runs], "<i8").tobytes(), pack_sorted(hashes[order]), pack(place[all_tokens] if len(place) else all_tokens))
+            codes, words, counts = split_words(pa.concat_arrays(texts))
+            if end is not None:
+                at = np.cumsum(counts)
+                codes, counts = np.insert(codes, at, len(words)), counts + 1
+                words.append(end)
+            hashes, place = np.unique(hashed(words), return_inverse=True)
+            docs_ = np.concatenate(ids)
+            row = (block, docs_.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), pack_sorted(hashes), pack(place.astype("<u4")[codes]))
             block += 1
-            number.clear()
             ids.clear()
-            runs.clear()
+            texts.clear()
             held = 0
             types = (pa.int64(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "docs", "lengths", "words", "tokens"])
 
         for batch in batches:
-            for i, j in text_slices(batch):
-                part = batch.slice(i, j - i)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = tokens(text)
-                    if ids and held + len(words) > block_tokens:
-                        yield flush()
-                    ids.append(NO_DOC if doc is None else doc)
-                    runs.append(np.fromiter(map(number.__getitem__, words), "u4", len(words)))
-                    held += len(words)
-        if ids:
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False) + DOC_BYTES
+            numbers = batch.column(0).fill_null(NO_DOC).to_numpy(zero_copy_only=False)
+            start = 0
+            for i, n in enumerate(sizes.tolist()):
+                if held and held + n > TOKEN_BYTES * block_tokens:
+                    if i > start:
+                        ids.append(numbers[start:i])
+                        texts.append(batch.column(1).slice(start, i - start))
+                    start = i
+                    yield flush()
+                held += n
+            ids.append(numbers[start:])
+            texts.append(batch.column(1).slice(start))
+        if held:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
