@@ -5,7 +5,7 @@ documents by weight; a target stops at MAX_EPOCHS times its source's words, and
 shared anew by weight until none is above (water filling, solved exactly).
 
 Each source's documents are dealt by hash into blocks. Whole epochs take every block once; the
-rest of a target takes blocks in permuted order while they fit; the next LAST_BLOCKS of them
+rest of a target takes blocks in permuted order as far as each fits; the first LAST_BLOCKS of the others
 are taken in part, document by document in permuted order as far as each fits what is left. The
 blocks so taken are the source's exact quota. A binary tree splits the quotas of all sources among the output shards: a node
 draws the left half's block counts from the multivariate hypergeometric distribution. A shard
@@ -121,12 +121,15 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, space: Workspac
             words = pdf["words"].to_numpy()[order]
             if epoch == full:
                 rest = goal - full * size
-                before = np.cumsum(words) - words
-                n = int(np.searchsorted(before + words, rest, side="right"))  # whole blocks
-                budget = np.full(len(order), np.nan)
-                if n < len(order):
-                    budget[n:] = rest - before[n]
-                order, budget = order[: n + LAST_BLOCKS], budget[: n + LAST_BLOCKS]
+                fits = np.zeros(len(order), bool)
+                for i, n in enumerate(words.tolist()):  # whole blocks, past those that don't fit
+                    if n <= rest:
+                        fits[i] = True
+                        rest -= n
+                last = np.flatnonzero(~fits)[:LAST_BLOCKS]
+                chosen = fits.copy()
+                chosen[last] = True
+                budget, order = np.where(fits, np.nan, rest)[chosen], order[chosen]
             else:
                 budget = np.full(len(order), np.nan)
             out.append(pd.DataFrame({"src": pdf["src"][0], "block": pdf["block"].to_numpy()[order], "epoch": epoch, "budget": budget}))
@@ -168,13 +171,13 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, space: Workspac
 
 
 def mixing_digests(mixed: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row."""
-    often = mixed.taken.groupBy("src", "doc_id").agg(F.count(F.lit(1)).alias("often"))
+    """doc_id, size, source_size, target, taken for every row, and the shards that the tree's leaves took it to (MAX_EPOCHS at most)."""
+    often = mixed.taken.groupBy("src", "doc_id").agg(F.count(F.lit(1)).alias("often"), F.array_sort(F.collect_list("shard")).alias("shards"))
     sized, often = mixed.sized.alias("s"), often.alias("o")
     same = (F.col("s.src") == F.col("o.src")) & F.col("s.doc_id").eqNullSafe(F.col("o.doc_id"))
-    rows = sized.join(often, same, "left").select("s.src", "s.doc_id", "size", "often")
+    rows = sized.join(often, same, "left").select("s.src", "s.doc_id", "size", "often", "shards")
     rows = rows.join(_small(mixed.sources, mixed.n_sources), "src")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("often", F.lit(0))).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("often", F.lit(0))).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, mixed: Mix, shards: int = SHARDS) -> DataFrame:
