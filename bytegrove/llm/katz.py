@@ -50,6 +50,9 @@ NOTHING = 1e-9
 
 END = b"\n"  # no word has a line feed
 
+#: A word's number (0: not in training) and count in training, whole numbers of 64 bits both.
+NUMBERED = np.dtype([("number", "<u8"), ("count", "<u8")])
+
 
 # --- blocks -----------------------------------------------------------------------------
 
@@ -166,8 +169,12 @@ def _score(space: Workspace, block_rows: DataFrame, partition_keys: int) -> Data
             for k, p in enumerate(places):
                 mine = first[p] == start + np.arange(len(p))  # this message owns the key
                 start += len(p)
-                found = (number[p] << 34 | r[p]) if with_number else (r[p] << 1 | mine)
-                out.append(pack(found.astype("<u8")))
+                if with_number:
+                    found = np.empty(len(p), NUMBERED)
+                    found["number"], found["count"] = number[p], r[p]
+                else:
+                    found = (r[p] << 1 | mine).astype("<u8")
+                out.append(pack(found))
             lead = [k == 0 for k in range(len(places))]
             return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "found": out, "tokens": [int(r.sum()) if x else 0 for x in lead], "types": [int((r > 0).sum()) if x else 0 for x in lead], "counts": [low if x else [0] * (GT_MAX + 1) for x in lead]})
 
@@ -185,8 +192,8 @@ def _score(space: Workspace, block_rows: DataFrame, partition_keys: int) -> Data
     def known(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
         """The block, and for each of its words the number (0: not in training) and count."""
         b = Block.of(row)
-        found = gather(b.words, word_parts, row["answers"], "<u8")
-        number, c = found >> np.uint64(34), (found & np.uint64((1 << 34) - 1)).astype("int64")
+        found = gather(b.words, word_parts, row["answers"], NUMBERED)
+        number, c = found["number"], found["count"].astype("int64")
         to = deal(b.words, word_parts).astype("u8")
         return b, np.where(number > 0, number * np.uint64(word_parts) + to, 0).astype("u8"), c
 
