@@ -14,7 +14,8 @@ of a batch with the same tables run side by side in numpy, one symbol a step.
 Thumbnails take the luminance DC coefficients alone (mean of each block), and their hash has a
 bit for each cell of an 8x8 grid brighter than the grid's mean.
 
-Defined cases: a null text counts as empty (one padded unit of 576 bytes); equal texts give
+Defined cases: a null, damaged, truncated or foreign medium, or one that isn't baseline or has separate
+scans, has an error and no features; a baseline image without payload has features alone; a null text counts as empty (one padded unit of 576 bytes); equal texts give
 equal values; an empty table gives no rows; repeated rows are kept; other columns are ignored.
 """
 
@@ -139,7 +140,7 @@ class Image:
 
 def parse(media: bytes) -> Image:
     """Read the markers of a baseline JPEG up to its scan, and unstuff the scan."""
-    if media[:2] != b"\xff\xd8":
+    if bytes(media[:2]) != b"\xff\xd8":
         raise ValueError("not a JPEG")
     out, at = Image(), 2
     while True:
@@ -319,11 +320,40 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return np.packbits(cell.reshape(-1) > cell.mean()).tobytes().hex()
 
 
-def payload(image: Image, coef: np.ndarray) -> tuple[bytes, int]:
-    """The stored payload and the number of its bytes before padding."""
-    tag, n_bytes, n_payload = struct.unpack(">8sQQ", image.comment)
-    if tag != b"payload\0":
-        raise ValueError("the image holds no payload")
+#: What damaged or foreign bytes raise on their way through the decoder.
+DAMAGED = (ValueError, IndexError, KeyError, struct.error)
+
+
+def decoded(media: list[bytes | None]) -> list[tuple[Image | None, np.ndarray | None, str | None]]:
+    """Image, coefficients and no error of each medium; or the error. One damaged image leaves the others alone."""
+    images: list[Image | None] = []
+    errors: list[str | None] = []
+    for m in media:
+        try:
+            images.append(parse(m) if m is not None else None)
+            errors.append(None if m is not None else "null")
+        except DAMAGED as e:
+            images.append(None)
+            errors.append(str(e) or type(e).__name__)
+    good = [k for k, im in enumerate(images) if im]
+    found: list[np.ndarray | None] = [None] * len(images)
+    try:
+        for k, c in zip(good, coefficients([images[k] for k in good]), strict=True):
+            found[k] = c
+    except DAMAGED:
+        for k in good:
+            try:
+                found[k] = coefficients([images[k]])[0]
+            except DAMAGED as e:
+                errors[k] = str(e) or type(e).__name__
+    return list(zip(images, found, errors, strict=True))
+
+
+def payload(image: Image, coef: np.ndarray) -> tuple[bytes | None, int | None]:
+    """The stored payload and the number of its bytes before padding; None in images that hold none."""
+    if len(image.comment) != 24 or not image.comment.startswith(b"payload\0"):
+        return None, None
+    _, n_bytes, n_payload = struct.unpack(">8sQQ", image.comment)
     return np.where(coef < 0, coef + 255, coef).astype("u1").tobytes()[:n_payload], n_bytes
 
 
@@ -345,11 +375,11 @@ def media_column(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, media binary")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumb_hash string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumb_hash string, error string"
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Decode the stored images: payload digests, dimensions and thumbnail hashes."""
+    """Decode the stored images: payload digests, dimensions and thumbnail hashes; ``error`` says why there are none."""
     prepare(media.sparkSession)
     names = [c.strip().split(" ")[0] for c in FEATURES.split(",")]
 
@@ -358,14 +388,18 @@ def media_features(media: DataFrame) -> DataFrame:
             for i, j in text_slices(batch, SLICE_BYTES):
                 part = batch.slice(i, j - i)
                 stored = part.column(1).to_pylist()
-                images = [parse(m) for m in stored]
                 rows = []
-                for doc, m, im, c in zip(part.column(0).to_pylist(), stored, images, coefficients(images), strict=True):
+                for doc, m, (im, c, error) in zip(part.column(0).to_pylist(), stored, decoded(stored), strict=True):
+                    media = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                    if error:
+                        rows.append((doc, None, None, None, None, *media, None, None, None, None, error))
+                        continue
                     p, n = payload(im, c)
+                    stated = (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) if p is not None else (None,) * 4
                     h = thumbnail_hash(thumbnail(im, c))
-                    rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), f"{im.width}x{im.height}:{h}", im.width, im.height, h))
+                    rows.append((doc, *stated, *media, f"{im.width}x{im.height}:{h}", im.width, im.height, h, None))
                 cols = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return media.select("doc_id", "media").mapInArrow(run, FEATURES)
