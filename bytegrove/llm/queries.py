@@ -48,16 +48,25 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as JPEG media, read back, with dimensions and thumbnail hashes."""
-    return jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
+    media = Workspace(spark, "media").stage(jpeg.media_column(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    return jpeg.media_features(media)
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals of all documents, inserted batch by batch; a repeated batch changes nothing."""
+    """Token totals of all documents, batch by batch: drafts without counts, which are revised; a batch
+    that is deleted and comes back; and a repeated commit, which changes nothing."""
     space = Workspace(spark, "rollup")
     counts = space.stage(token_rollup.count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), f"{WORD_VOCABULARY}@1"), "counts")
     ledger = token_rollup.TokenRollup(spark, f"{space.path}/ledger")
-    for k in [*range(ROLLUP_BATCHES), 0]:
-        ledger.commit(f"insert-{k}", token_rollup.inserts(counts.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROLLUP_BATCHES)) == k)))
+    for k in range(ROLLUP_BATCHES):
+        batch = counts.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROLLUP_BATCHES)) == k)
+        draft = batch.withColumn("n_tokens", F.lit(0).cast("long")).withColumn("tokenizer", F.lit(f"{WORD_VOCABULARY}@0"))
+        ledger.commit(f"draft-{k}", token_rollup.inserts(draft))
+        ledger.commit(f"revised-{k}", token_rollup.revisions(draft, batch))
+        if not k:
+            ledger.commit("gone-0", token_rollup.deletes(batch))
+            ledger.commit("back-0", token_rollup.inserts(batch))
+            ledger.commit("back-0", token_rollup.inserts(batch))
     return ledger.rollup()
 
 

@@ -65,6 +65,14 @@ class TokenRollup:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
+    def _commits(self) -> list[str]:
+        """Folders of all batches that ended; one that broke off has no success mark and isn't counted."""
+        if not self._exists(self.path):
+            return []
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+        return sorted(p for p in (s.getPath().toString() for s in found if s.isDirectory()) if self._exists(f"{p}/_SUCCESS"))
+
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of deltas; False if it is in the ledger already."""
         path = f"{self.path}/batch={batch}"
@@ -76,9 +84,10 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all commits."""
-        if not self._exists(self.path):
+        commits = self._commits()
+        if not commits:
             return self.spark.createDataFrame([], LEDGER)
-        rows = self.spark.read.schema(f"{LEDGER}, batch string").parquet(self.path)
+        rows = self.spark.read.schema(LEDGER).parquet(*commits)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def rollup(self) -> DataFrame:
