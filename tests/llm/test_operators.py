@@ -413,7 +413,7 @@ def test_mixing(spark, docs, empty):
     want = dict(zip(order, mixing.targets([size[s] for s in order], [5, 2, 1, 5, 2]), strict=True))
     source = {r[0]: r[3] for r in corpus()}
     taken = collections.Counter()
-    for doc, n, source_size, target, took in rows:
+    for doc, n, source_size, target, took, *_ in rows:
         assert source_size == size[source[doc]] and target == pytest.approx(want[source[doc]]) and took % n == 0 if n else took == 0
         assert took <= 3 * n
         taken[source[doc]] += took
