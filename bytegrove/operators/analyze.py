@@ -65,9 +65,11 @@ class Output:
 class Analyzer:
     name: str
     analyze: Callable[[Content], Output]
-    requires: Sequence[str] = ()
+    requires: str | Sequence[str] = ()
 
     def __post_init__(self) -> None:
+        if isinstance(self.requires, str):  # one name
+            object.__setattr__(self, "requires", (self.requires,))
         if not self.name:
             raise ValueError("an analyzer needs a name")
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import struct
 import zipfile
+import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -89,8 +92,10 @@ class Base64Extractor:
 
 # --- images -----------------------------------------------------------------------------
 
-PNG = Identifier("Png", magic=[b"\x89PNG\r\n\x1a\n"])
-BMP = Identifier("Bmp", magic=[b"BM"])
+#: Bytes that a PNG or BMP has at least for its size to be in it.
+PNG_BYTES, BMP_BYTES = 24, 26
+PNG = Identifier("Png", magic=[b"\x89PNG\r\n\x1a\n"], validate=lambda c: c.size >= PNG_BYTES)
+BMP = Identifier("Bmp", magic=[b"BM"], validate=lambda c: c.size >= BMP_BYTES)
 JPEG = Identifier("Jpeg", magic=[b"\xff\xd8"])
 
 
@@ -99,11 +104,11 @@ def _size(width: Column, height: Column) -> Column:
 
 
 def _png(c: Content) -> Column:
-    return F.when((c.size >= 24) & starts_with(c.content, b"\x89PNG\r\n\x1a\n"), _size(uint_be(c.content, 16, 4), uint_be(c.content, 20, 4)))
+    return F.when(c.size >= PNG_BYTES, _size(uint_be(c.content, 16, 4), uint_be(c.content, 20, 4)))
 
 
 def _bmp(c: Content) -> Column:
-    return F.when((c.size >= 26) & starts_with(c.content, b"BM"), _size(uint_le(c.content, 18, 4), uint_le(c.content, 22, 4)))
+    return F.when(c.size >= BMP_BYTES, _size(uint_le(c.content, 18, 4), uint_le(c.content, 22, 4)))
 
 
 #: Fixed values of the format: markers of frames, and markers without a body.
@@ -111,22 +116,19 @@ FRAMES = {*range(0xC0, 0xC4), *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xC
 BARE = {0x01, *range(0xD0, 0xDA)}
 
 
+def jpeg_segments(data: bytes) -> Iterator[tuple[int, int]]:
+    """Markers of a JPEG and where each one's body lies, length included; bytes between segments are passed over."""
+    at = 2 if data.startswith(b"\xff\xd8") else len(data)
+    while 0 <= (at := data.find(b"\xff", at)) < len(data) - 9:
+        marker = data[at + 1]
+        yield marker, at + 2
+        at += 2 if marker in BARE else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+
+
 def jpeg_size(data: bytes) -> tuple[int, int] | None:
     """Width and height from the first frame header."""
-    if data[:2] != b"\xff\xd8":
-        return None
-    at = 2
-    while at + 9 < len(data):
-        if data[at] != 0xFF:
-            at += 1
-        elif data[at + 1] in FRAMES:
-            height, width = struct.unpack_from(">HH", data, at + 5)
-            return width, height
-        elif data[at + 1] in BARE:
-            at += 2
-        else:
-            at += 2 + struct.unpack_from(">H", data, at + 2)[0]
-    return None
+    frame = next((body for marker, body in jpeg_segments(data) if marker in FRAMES), None)
+    return None if frame is None else struct.unpack_from(">HH", data, frame + 3)[::-1]
 
 
 @pandas_udf(SIZE)
@@ -154,6 +156,8 @@ MD5 = Analyzer("md5", lambda c: Output(values={"md5": F.when(~F.coalesce(c.is_fo
 # --- ZIP --------------------------------------------------------------------------------
 
 EOCD, TAIL = b"PK\x05\x06", 65557
+#: What a damaged or unknown archive or member raises; it ends neither the task nor the scan.
+DAMAGED = (zipfile.BadZipFile, OSError, ValueError, RuntimeError, EOFError, IndexError, struct.error, zlib.error, lzma.LZMAError)
 
 
 def ends_like_zip(tail: bytes | None) -> bool:
@@ -202,7 +206,7 @@ def zip_entries(data: bytes | None, offset: int = 0, length=None) -> list[tuple[
     try:
         with _archive(data, offset, length) as z:
             return [(safe_name(i.filename), i.file_size, False, str(k)) for k, i in enumerate(z.infolist()) if not i.is_dir()]
-    except (zipfile.BadZipFile, OSError, ValueError):
+    except DAMAGED:
         return []
 
 
@@ -210,7 +214,7 @@ def zip_member(data: bytes | None, offset: int, length, number: int) -> bytes |
     try:
         with _archive(data, offset, length) as z:
             return z.read(z.infolist()[number])
-    except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError, zipfile.zlib.error):
+    except DAMAGED:
         return None
 
 

@@ -18,6 +18,8 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         self.path = f"{(root or tempfile.mkdtemp(prefix='bytegrove-')).rstrip('/')}/scan-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 

@@ -364,3 +364,28 @@ def test_find_zips_in_a_folder(spark, tmp_path):
     (tmp_path / "deep/not.zip").write_bytes(b"PK\x03\x04")
     result = ScannerBuilder(["Folder", "Zip"]).add_identifier(P.ZIP).max_depth(64).build().scan(folder(spark, tmp_path, "Folder"))
     assert [r["path"] for r in result.objects.where("type = 'Zip'").collect()] == [f"{tmp_path}/deep/er/a.dat"]
+
+
+def test_damaged_archives_leave_the_scan_alone(spark):
+    good = archive(("t.txt", b"hi"))
+    version = bytearray(good)
+    version[good.rindex(b"PK\x01\x02") + 6] = 99  # a directory entry of an unknown version
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_LZMA) as z:
+        z.writestr("l.txt", b"some text " * 50)
+    broken = bytearray(out.getvalue())
+    broken[45:60] = bytes(15)
+    b = ScannerBuilder(["Zip"]).add_identifier(P.ZIP).add_extractor("Zip", P.ZipExtractor()).build()
+    rows = buffers(spark, [(bytes(version), "v.zip"), (bytes(broken), "l.zip"), (good, "g.zip")])
+    assert "t.txt" in [r["path"] for r in b.scan(rows).objects.collect()]
+    assert P.zip_entries(bytes(version)) == [] and P.zip_member(bytes(broken), 0, None, 0) is None
+
+
+def test_images_are_as_long_as_their_sizes_need(spark):
+    b = ScannerBuilder(["Png", "Bmp"]).add_identifier(P.PNG).add_identifier(P.BMP).build()
+    rows = b.scan(buffers(spark, [(png(1, 2)[:10], "a"), (png(1, 2), "b"), (b"BM" + bytes(23), "c"), (b"BM" + bytes(24), "d")])).objects
+    assert [r["type"] for r in rows.orderBy("scan_id").collect()] == [None, "Png", None, "Bmp"]
+
+
+def test_one_required_analyzer_may_be_a_string():
+    assert Analyzer("n", lambda c: Output(), requires="base").requires == ("base",)
