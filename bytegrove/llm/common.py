@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -58,6 +60,8 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="bytegrove-")
         self.path = f"{root.rstrip('/')}/bytegrove-{label}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.path)
@@ -73,8 +77,11 @@ class Workspace:
         _delete(self.spark, f"{self.path}/{name}")
 
     def sweep(self) -> None:
-        """Free shuffle files of finished steps: Spark does so when the JVM collects their handles."""
+        """Free shuffle files of finished steps: Spark does so when the JVM collects their handles, which
+        Python may hold in cycles."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)  # files go in the background
 
 
 def _delete(spark: SparkSession, path: str) -> None:
