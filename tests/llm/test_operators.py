@@ -344,6 +344,24 @@ def test_passages_of_repeating_phrases(spark):
         seen.update(runs)
 
 
+def test_extensions_match_brute_force():
+    """Words go on alike until their score (1 for equal, -2 for different) is more than DROP below its best."""
+    draw = random.Random(5)
+    for _ in range(3000):
+        x = [draw.randrange(3) for _ in range(draw.randrange(40))]
+        y = [w if draw.random() < 0.8 else 3 for w in x][: draw.randrange(len(x) + 1)]
+        score = best = taken = same = equal = 0
+        ended = False
+        for i, (v, w) in enumerate(zip(x, y, strict=False), 1):
+            score, equal = score + (1 if v == w else -2), equal + (v == w)
+            if score > best:
+                best, taken, same = score, i, equal
+            if best - score > substring_dedup.DROP:
+                ended = True
+                break
+        assert substring_dedup.extend(np.array(x, "u4"), np.array(y, "u4")) == (taken, same, ended)
+
+
 def test_chains_match_brute_force():
     rng = random.Random(4)
     k = substring_dedup.K
