@@ -64,7 +64,8 @@ class Workspace:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="bytegrove-")
         self.path = f"{root.rstrip('/')}/bytegrove-{label}-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, self.path)
+        atexit.register(self.end)
+        self.tables: set[str] = set()
 
     def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and read it back with the same schema."""
@@ -72,10 +73,37 @@ class Workspace:
         df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def stage_buckets(self, df: DataFrame, name: str, key: str, **options: str) -> DataFrame:
+        """Stage ``df`` in buckets of ``key``, as many as the session has shuffle partitions: joins on
+        the key leave these rows where they are."""
+        table = self._table(name)
+        self.tables.add(table)
+        df.write.options(path=f"{self.path}/{name}", **options).format("parquet").bucketBy(n_parts(self.spark), key).saveAsTable(table)
+        return self.spark.table(table)
+
+    def _table(self, name: str) -> str:
+        return f"{self.path.rsplit('/', 1)[1]}_{name}".replace("-", "_")
+
     def drop(self, name: str) -> None:
         """Delete a staged table that nothing reads any more."""
+        self._forget(self._table(name))
         _delete(self.spark, f"{self.path}/{name}")
 
+    def end(self) -> None:
+        """Delete all that was staged."""
+        for table in list(self.tables):
+            self._forget(table)
+        _delete(self.spark, self.path)
+
+    def _forget(self, table: str) -> None:
+        """Take a table out of the catalog; its files stay."""
+        if table in self.tables:
+            self.tables.remove(table)
+            try:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            except Exception:  # the session may be gone at exit
+                pass
+
     def sweep(self) -> None:
         """Free shuffle files of finished steps: Spark does so when the JVM collects their handles, which
         Python may hold in cycles."""

@@ -14,7 +14,7 @@ tokens need: it sends its sorted distinct keys with its training counts to the k
 as one packed message for each partition, and gets totals back in the same order. Three such
 rounds serve words, bigrams, and contexts. Counting and lookup are one shuffle, a frequent word
 or pair costs one entry for each block, and nothing but a few sums and the counts of counts
-reaches the driver.
+reaches the driver. Blocks are staged in buckets, so only answers are shuffled to meet them.
 
 Defined cases: a null text counts as empty (its end token alone is scored); an empty table gives
 no rows; an empty training set gives every token the unknown word's probability of 1; repeated
@@ -140,7 +140,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, partition_key
     prepare(spark)
     space = space or Workspace(spark, "katz")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    block_rows = space.stage(blocks(docs, hashes, END, block_tokens), "blocks", compression="none")
+    block_rows = space.stage_buckets(blocks(docs, hashes, END, block_tokens), "blocks", "block", compression="none")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a block from here on
     try:
         return _score(space, block_rows, partition_keys)
@@ -206,7 +206,7 @@ def _score(space: Workspace, block_rows: DataFrame, partition_keys: int) -> Data
                 yield pa.RecordBatch.from_pylist([out], schema=pa.schema([("block", pa.int64()), *[(k, pa.binary()) for k in list(out)[1:-1]], ("end", pa.int64())]))
 
     numbered = "block long, docs binary, lengths binary, tokens binary, numbers binary, counts binary, `end` long"
-    pair_rows = space.stage(with_answers(block_rows, word_rows).mapInArrow(with_words, numbered), "numbered", compression="none")
+    pair_rows = space.stage_buckets(with_answers(block_rows, word_rows).mapInArrow(with_words, numbered), "numbered", "block", compression="none")
     space.sweep()
     space.drop("blocks")
     space.drop("words")
