@@ -324,6 +324,36 @@ def test_passages_with_few_anchors(spark):
         assert abs(r["start"] - at) <= 1 and abs(r["end"] - at - n) <= 1
 
 
+def test_passages_whose_seeds_are_first_elsewhere(spark):
+    """Two documents are linked, too, where each seed that they share is first in another document."""
+    rng = random.Random(31)
+    text = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    keys = lambda words: set(substring_dedup.seeds(np.array([near_dedup.word_hash(w.encode()) for w in words], "u8"), np.zeros(len(words), "int64"))[0].tolist())
+    rows, due = [], []
+    for n, step, gone in ((60, 7, 0), (70, 9, 0), (100, 6, 0), (70, 14, 1), (90, 13, 2)):
+        for _ in range(5):
+            a = text(n)
+            b = [w if k % step else f"s{w}" for k, w in enumerate(a, 1)]
+            for k in range(gone):
+                del b[(k + 1) * n // (gone + 1)]
+            # Each run of twelve words of it is in an earlier document, with other words around.
+            rows += [text(20) + a[k : k + 12] + text(20) for k in range(n - 11)]
+            a, b = text(20) + a + text(20), text(30) + b + text(10)
+            if len(keys(a) & keys(b)) > gone:
+                due.append((len(rows) + 1, len(rows), gone))
+            rows += [a, b]
+    # A place after another one of its seed in the same document.
+    a = text(60)
+    b = [w if k % 7 else f"s{w}" for k, w in enumerate(a, 1)]
+    due.append((len(rows) + 1, len(rows), 0))
+    rows += [sum((a[k : k + 6] + text(3) for k in range(0, 60, 7)), []) + a + text(9), b + text(20)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").coalesce(2)
+    found = {(r["doc_id"], r["first_id"]) for r in substring_dedup.passages(df, block_tokens=3000).collect()}
+    assert found <= {p[:2] for p in due} and len(due) > 20
+    assert found >= {p[:2] for p in due if not p[2]}
+    assert len(found) >= 0.9 * len(due)
+
+
 def test_passages_of_repeating_phrases(spark):
     """Runs at many distances from one place don't use up each other's anchors."""
     rng = random.Random(13)
