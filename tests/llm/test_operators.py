@@ -7,10 +7,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bytegrove.llm import exact_dedup, jpeg, katz, language_id, mixing, near_dedup, packing, substring_dedup, token_orc, token_rollup
+from bytegrove.llm import contexts, exact_dedup, jpeg, katz, language_id, mixing, near_dedup, packing, substring_dedup, token_orc, token_rollup
 from bytegrove.llm.common import LOWER, ChunkEncoder, Workspace, encoder, keep_rows, vocabulary
 
 VOCAB = vocabulary("word_bpe_49k.json")
@@ -354,6 +355,65 @@ def test_passages_whose_seeds_are_first_elsewhere(spark):
     assert len(found) >= 0.9 * len(due)
 
 
+def test_places_are_compared_in_order():
+    """Words around a seed that are alike at other distances count in their order alone, as an alignment has them."""
+    rng = random.Random(41)
+    words = np.array([rng.randrange(1, 30) for _ in range(3000)], "u8")
+    at = np.array([rng.randrange(2990) for _ in range(200)])
+    low, high = (np.array([f(p) for p in at.tolist()]) for f in (lambda p: max(0, p - rng.randrange(70)), lambda p: min(3000, p + 5 + rng.randrange(70))))
+    x = contexts.numbers(contexts.contexts(words, low, high, at, 5))
+    a, b = (np.array([rng.randrange(200) for _ in range(300)]) for _ in range(2))
+    most, bag = contexts.sides_in_order(x[:, a], x[:, b]), contexts.sides_common(contexts.bags(x), a, b)
+    sides = lambda i: (words[max(low[i], at[i] - 48) : at[i]][::-1], words[at[i] + 5 : min(high[i], at[i] + 53)])
+    for n, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        for side, (u, v) in enumerate(zip(sides(i), sides(j), strict=True)):
+            same = sum((collections.Counter(u.tolist()) & collections.Counter(v.tolist())).values())
+            assert most[side][n] == substring_dedup.common_words(u, v) <= same <= bag[side][n]
+    # Ten words before the seed are alike, then 38 in another order; or all 48 after one more word.
+    near, mixed, own = (list(range(s, s + 48)) for s in (10, 100, 200))
+    turned = near[:10] + [w for k in range(10, 48, 10) for w in near[k : k + 10][::-1]]
+    seed = [1, 2, 3, 4, 5]
+    for side, due in ((turned, 0), (near[:10] + [99] + near[10:47], 1)):
+        docs = [near[::-1] + seed + mixed, side[::-1] + seed + own]
+        flat = np.array(sum(docs, []), "u8")
+        low = np.array([0, len(docs[0])])
+        raw = contexts.contexts(flat, low, low + 101, low + 48, 5)
+        n = [0, 0]
+        columns = {"key": n, "i": n, "j": n, "side": n, "block": n, "doc": [0, 1], "place": [48, 48], "label_block": n, "label_doc": [0, 1], "label_from": n, "label_to": [101, 101], "context": [r.tobytes() for r in raw]}
+        batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "context" else pa.int64()) for k, v in columns.items()})
+        assert sum(out.num_rows for out in contexts.paired(35, 30, 50)(iter([batch]))) == due
+
+
+def test_pairs_that_hold_no_passage_are_not_aligned(monkeypatch):
+    """Documents of runs of one word share many seeds: those without a passage aren't aligned, those with one are."""
+    rng = random.Random(43)
+    docs = [[w for _ in range(12) for w in [rng.randrange(1, 200)] * rng.randrange(15, 48)] for _ in range(40)]
+    for k in range(20, 40):
+        some = docs[k - 20][60:140]
+        docs[k] = docs[k][:100] + [w if rng.random() < 0.9 else 999 for w in some] + docs[k][100:]
+    starts = {i: {} for i in range(40)}
+    for i, d in enumerate(docs):
+        for p in range(len(d) - 4):
+            if len({*d[p : p + 5]}) == 1 and (p == 0 or d[p - 1] != d[p] or d[p + 5 : p + 6] != [d[p]]):
+                starts[i].setdefault(d[p], []).append(p)
+    raw = [substring_dedup._short(np.array(d, "u8")).tobytes() for d in docs]
+    rows = []
+    for i in range(40):
+        for j in range(i):
+            at = [{"place": p, "far": q} for w in starts[i] for p in starts[i][w] for q in starts[j].get(w, ())]
+            if at:
+                rows.append({"doc_id": i, "first_id": j, "block": 0, "doc": i, "other_block": 0, "other_doc": j, "own_words": raw[i], "words": raw[j], "at": at})
+    batch = pa.RecordBatch.from_pylist(rows)
+    aligned = []
+    chains = substring_dedup.chains
+    monkeypatch.setattr(substring_dedup, "chains", lambda *a: aligned.append(1) or chains(*a))
+    found = lambda: sorted((tuple(r.values()) for out in substring_dedup._align_rest(iter([batch])) for r in out.to_pylist()), key=str)
+    some = found()
+    assert 20 <= len({r[:1] + r[3:4] for r in some}) <= len(aligned) < len(rows) / 2
+    monkeypatch.setattr(substring_dedup, "_rest_alike", lambda batch: np.ones(batch.num_rows, bool))
+    assert found() == some
+
+
 def test_passages_of_repeating_phrases(spark):
     """Runs at many distances from one place don't use up each other's anchors."""
     rng = random.Random(13)
