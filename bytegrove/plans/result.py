@@ -69,12 +69,17 @@ class ScanResult:
         return rows.withColumn("rank", F.row_number().over(last)).where("rank = 1").select("scan_id", "object_id", "key", "value")
 
     def globals(self) -> DataFrame:
-        """scan_id, key, op, number, value: run-wide values; ``set`` keeps the last in order."""
+        """scan_id, key, op, number, value: run-wide values; ``set`` keeps the last in order.
+
+        A sum beyond 64 bits has no number, and its value is the sum.
+        """
         rows = self._seen.select("scan_id", "order_key", F.posexplode("folds").alias("at", "f")).select("scan_id", "order_key", "at", "f.*")
         n = F.col("number")
-        folded = rows.groupBy("scan_id", "key", "op").agg(F.sum(n).alias("sum"), F.min(n).alias("min"), F.max(n).alias("max"), F.count(F.lit(1)).alias("count"), F.max_by(F.to_json("value"), F.struct("order_key", "at")).alias("last"))
+        folded = rows.groupBy("scan_id", "key", "op").agg(F.sum(n.cast("decimal(19,0)")).alias("total"), F.min(n).alias("min"), F.max(n).alias("max"), F.count(F.lit(1)).alias("count"), F.max_by(F.to_json("value"), F.struct("order_key", "at")).alias("last"))
+        folded = folded.withColumn("sum", F.col("total").try_cast("long"))
+        beyond = (F.col("op") == "sum") & F.col("sum").isNull()
         number = F.coalesce(*[F.when(F.col("op") == k, F.col(k)) for k in ("sum", "min", "max", "count")])
-        return folded.select("scan_id", "key", "op", number.alias("number"), F.when(F.col("op") == "set", F.parse_json("last")).alias("value"))
+        return folded.select("scan_id", "key", "op", number.alias("number"), F.when(F.col("op") == "set", F.parse_json("last")).when(beyond, F.col("total").cast("variant")).alias("value"))
 
     def findings(self) -> DataFrame:
         """scan_id, object_id, seq, finding, source, metadata, path, type."""

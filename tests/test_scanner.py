@@ -158,6 +158,17 @@ def test_findings(spark):
     assert [(r["seq"], r["finding"], r["source"], r["path"], r["type"]) for r in rows] == [(0, "x", None, "p", "A"), (1, "p", "src", "p", "A")]
 
 
+def test_sums_beyond_64_bits(spark, tmp_path):
+    most = 2**63 - 1
+    texts = [(1, "card 4111111111111111\n" * 2500), (2, f"{most} and 1"), (3, f"{most} 0 99999999999999999999"), (4, "7 8"), (5, "99999999999999999999"), (6, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.number_sum(spark, str(tmp_path))
+    assert found.schema["sum"].dataType.simpleString() == "bigint"
+    assert {r["doc_id"]: r["sum"] for r in found.collect()} == {1: None, 2: None, 3: most, 4: 15}
+    totals = queries._numbers(spark, str(tmp_path)).globals().where("number is null").select("scan_id", F.to_json("value"))
+    assert {k: int(v) for k, v in totals.collect()} == {1: 4111111111111111 * 2500, 2: most + 1}
+
+
 def test_filter_of_root_and_entries(spark):
     deny = FilterBuilder().include_extensions(Precedence.LOW, ["ok"]).deny_the_rest()
     scanner = ScannerBuilder(["Nest"]).filter(deny).add_extractor("Nest", Shrink()).build()
