@@ -18,7 +18,7 @@ from ..operators.extract import ENTRIES, Extraction, Extractor
 from ..operators.filters import Filter
 from ..operators.identify import Content, Identifier, IdentifierSet
 from .result import ScanResult
-from .staging import Staging
+from .staging import Staging, bound_batches
 
 DEFAULT_DEPTH, MOST_DEPTH = 8, (1 << 32) - 3
 ROW = ("scan_id", "order_key", "depth", "path", "path_raw", "size", "content", "pinned_type", "is_folder")
@@ -133,6 +133,7 @@ class Scanner:
 
     def scan(self, contents: DataFrame, filter_root: bool = False) -> ScanResult:
         """Scan every root; rows that bring an order_key and depth are a tree walked already."""
+        bound_batches(contents.sparkSession)
         rows = contents
         for name, kind in DEFAULTS.items():
             if name not in rows.columns:

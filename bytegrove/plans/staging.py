@@ -1,4 +1,4 @@
-"""Scratch tables in the folder that the session names for checkpoints."""
+"""Scratch tables in the folder that the session names for checkpoints, and what Python workers get at once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows, and bytes or one row, of an Arrow batch sent to Python: few, as a content may be megabytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches be no larger than BATCH, so a worker's memory doesn't follow its input."""
+    number = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in BATCH.items():
+        if not 0 < number(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
 class Staging:
     """Tables written below spark.checkpoint.dir and read back; lineage ends there.
 

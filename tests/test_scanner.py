@@ -4,8 +4,10 @@ import random
 import struct
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from bytegrove import queries
 from bytegrove.operators import plugins as P
@@ -400,3 +402,12 @@ def test_images_are_as_long_as_their_sizes_need(spark):
 
 def test_one_required_analyzer_may_be_a_string():
     assert Analyzer("n", lambda c: Output(), requires="base").requires == ("base",)
+
+
+def test_python_gets_few_bytes_at_once(spark):
+    held = pandas_udf(lambda s: pd.Series([int(s.map(len).sum())] * len(s)), "long")
+    rows = spark.range(0, 48, 1, 1).select(F.col("id").alias("scan_id"), F.lit("p").alias("path"), F.expr("cast(repeat('x', 1000000) as binary)").alias("content"))
+    values = ScannerBuilder(["Any"]).add_generic_analyzer(0, Analyzer("held", lambda c: Output(values={"held": held(c.content)}))).build().scan(rows).values()
+    assert max(r["value"].toPython() for r in values.collect()) <= 6_000_000
+    seen = O.OrderedScanner(lambda: O.Plugins(lambda item: "Text")).scan(rows.limit(3)).collect()
+    assert [r["size"] for r in seen] == [1_000_000] * 3
