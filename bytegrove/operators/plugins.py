@@ -170,13 +170,21 @@ def ends_like_zip(tail: bytes | None) -> bool:
     return False
 
 
-@pandas_udf(T.BooleanType())
-def _ends_like_zip(tail: pd.Series) -> pd.Series:
-    return tail.map(ends_like_zip).astype(bool)
+def _ends_like_zip(data: Column) -> Column:
+    """The same test as an expression: between the parts of the tail that end records separate."""
+    size, tail = F.length(data), F.substr(data, F.lit(-TAIL))
+
+    def step(acc: Column, part: Column) -> Column:
+        at = acc["at"] + F.length(part)
+        comment = F.conv(F.concat(F.hex(F.substring(data, at + 22, 1)), F.hex(F.substring(data, at + 21, 1))), 16, 10).cast("int")
+        return F.struct((at + len(EOCD)).alias("at"), (acc["ends"] | ((at + 22 <= size) & (at + 22 + comment == size))).alias("ends"))
+
+    start = F.struct((size - F.length(tail)).alias("at"), F.lit(False).alias("ends"))
+    return F.aggregate(F.split(text_view(tail), EOCD.decode("ISO-8859-1"), -1), start, step)["ends"]
 
 
 def _is_zip(c: Content) -> Column:
-    return _ends_like_zip(F.when(starts_with(c.content, b"PK\x03\x04"), F.expr(f"substring(content, -{TAIL})")))
+    return F.when(starts_with(c.content, b"PK\x03\x04"), _ends_like_zip(c.content))
 
 
 ZIP = Identifier("Zip", magic=[b"PK\x03\x04"], validate=_is_zip)

@@ -404,6 +404,18 @@ def test_one_required_analyzer_may_be_a_string():
     assert Analyzer("n", lambda c: Output(), requires="base").requires == ("base",)
 
 
+def test_zip_by_its_end_without_python(spark):
+    end = lambda comment, said=None: b"PK\x05\x06" + bytes(16) + struct.pack("<H", len(comment) if said is None else said) + comment
+    rng, head = random.Random(7), b"PK\x03\x04"
+    data = [head, end(b""), head + end(b""), head + end(b"x", 2), head + end(b"PK\x05\x06"), head + end(end(b"no", 9)), head + end(end(b"in"), 5), head + end(b"a" * 65535), head + b"f" * 70000 + end(b"b" * 65535), head + end(b"c" * 65535) + b"d", head + end(b"")[:-1]]
+    for _ in range(200):
+        data.append(head + b"".join(rng.choice([b"PK", b"\x05", b"\x06", b"PK\x05\x06", bytes(17), b"\0", b"\xff\xe9", end(b""), end(bytes(rng.randint(0, 40)), rng.randint(0, 60))]) for _ in range(rng.randint(0, 8))))
+    found = ScannerBuilder(["Zip"]).add_identifier(P.ZIP).build().scan(buffers(spark, [(b, "z") for b in data])).objects
+    assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {k for k, b in enumerate(data) if b.startswith(head) and P.ends_like_zip(b[-P.TAIL :])}
+    assert {r["scan_id"] for r in found.where("type = 'Zip'").collect()} == want and {2, 4, 7, 8} <= want and 10 < len(want) < 200
+
+
 def test_python_gets_few_bytes_at_once(spark):
     held = pandas_udf(lambda s: pd.Series([int(s.map(len).sum())] * len(s)), "long")
     rows = spark.range(0, 48, 1, 1).select(F.col("id").alias("scan_id"), F.lit("p").alias("path"), F.expr("cast(repeat('x', 1000000) as binary)").alias("content"))
