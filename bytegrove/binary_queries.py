@@ -48,9 +48,11 @@ def _zipped(members: dict[str, bytes]) -> bytes:
 
 @pandas_udf(T.BinaryType())
 def _archive(name: pd.Series, text: pd.Series, image: pd.Series) -> pd.Series:
-    """A folder, a text, a member that leads out, an image and an archive."""
+    """A folder, a text, a member that leads out, an image and an archive; NULL for a NULL text."""
 
-    def made(name: str, text: bytes, image: bytes) -> bytes:
+    def made(name: str, text: bytes | None, image: bytes) -> bytes | None:
+        if text is None:
+            return None
         inner = _zipped({"deep.txt": f"deep-{name}".encode()})
         return _zipped({"text/": b"", f"text/{name}.txt": text, "../up.txt": name.encode(), "img.png": image, "inner.zip": inner})
 
@@ -85,7 +87,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the documents in archives; a quarter with an archive's first bytes alone; a quarter as they are."""
     name, text = F.col("doc_id").cast("string"), _bytes(F.col("text"))
     kind = F.col("doc_id") % 4
-    data = F.when(kind < 2, _archive(name, text, _png(*_sides()))).when(kind == 2, F.concat(F.lit(b"PK\x03\x04"), text)).otherwise(text)
+    data = F.when(kind < 2, _archive(name, F.when(kind < 2, text), _png(*_sides()))).when(kind == 2, F.concat(F.lit(b"PK\x03\x04"), text)).otherwise(text)
     return _contents(_table(spark, sf_dir, "documents"), F.concat(name, F.lit(".zip")), data)
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from bytegrove import binary_queries as binary
 
@@ -29,3 +30,8 @@ def test_documents_without_text(spark, tmp_path):
     found = {(r["doc_id"], r["object_id"]): (r["path"], r["size"], r["type"]) for r in binary.zip_members(spark, str(tmp_path)).collect()}
     assert found[0, 1] == ("text/0.txt", 0, None) and found[1, 5] == ("deep.txt", 6, None)
     assert found[2, 0] == ("2.zip", 4, None) and found[3, 0] == ("3.zip", 0, None) and found[4, 4] == ("inner.zip", None, "Zip")
+
+
+def test_texts_that_stay_as_they_are_make_no_archive(spark):
+    made = spark.range(1).select(binary._archive(F.lit("0"), F.lit(None).cast("binary"), F.lit(b"i")).alias("none"), binary._archive(F.lit("0"), F.lit(b""), F.lit(b"i")).alias("empty")).first()
+    assert made["none"] is None and made["empty"].startswith(b"PK\x03\x04")
